@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, langid, licenses, media, mixing, packing, secrets, tokens
+from . import exact_dedup, jaccard_join, langid, licenses, media, mixing, packing, secrets, suffix_dedup, tokens
 from .common import documents
 
 
@@ -40,6 +40,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), keep_text=False)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_media": op5_media,
     "op6_token_files": op6_token_files,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
