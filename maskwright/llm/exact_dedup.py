@@ -76,8 +76,9 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Groups of equal texts; of each the row with the largest id stays.
 
-    Returns for each row ``<id_col>, keep_id, group_size, kept, text_sha256, id_rows``. A null text counts as
-    empty. Rows that repeat id and text are all returned and counted; ``id_rows`` says how many. A null
+    Returns for each row ``<id_col>, keep_id, group_size, kept, text_sha256, id_rows, key``. A null text counts as
+    empty. Rows that repeat id and text are all returned and counted; ``id_rows`` says how many; ``key``
+    is the text's xxhash64. A null
     id is the smallest; a group of null ids only has a null ``keep_id`` and keeps its rows. An empty
     table gives an empty result; other columns are not read.
     """
@@ -97,5 +98,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
             "text_sha256",
             F.coalesce("c", F.lit(1)).cast("long").alias("id_rows"),
+            F.col("print").alias("key"),
         )
     )

@@ -12,6 +12,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
 
 
+def size_of(text_col: str):
+    """Number of words of a text; 0 for null."""
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def ranked(keys: DataFrame, order: list, out: str) -> DataFrame:
     """Position of each row in the whole order, without one task for all: range partitions, then offsets."""
     parts = stored(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranked")
@@ -58,8 +63,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
 
     Returns for each row ``<id_col>, <source_col>, size, source_size, target, repeats, taken``.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size")), "sizes")
     u = F.xxhash64(F.lit(seed), F.col("id"))
     rows = rows.withColumn("hash", u).withColumn("bucket", F.pmod(F.shiftrightunsigned(u, 20), F.lit(BUCKETS)).cast("int"))
     buckets = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
@@ -95,9 +99,3 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     out = inside.unionByName(on_edge)
     repeats = (F.floor("rate") + F.col("extra")).cast("long")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
-
-
-def repeated(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each document as often as ``decisions`` says, copies numbered in ``repeat``."""
-    times = decisions.filter("repeats > 0").select(id_col, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("repeat"))
-    return docs.join(times, id_col)
