@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BROADCAST_BYTES, columns, slices, stored
+from .common import columns, slices, stored
 
 #: Bytes of a repeated string.
 LENGTH = 400
@@ -199,8 +199,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     schema = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("parts", pa.int32()), ("at", pa.int64()), ("low", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
     places = stored(wanted.groupBy("key").agg(F.collect_list(F.struct("block", "parts", "at", "low", "high")).alias("places")), "places")
-    size = places.agg(F.sum(F.size("places") * 40 + 16)).first()[0] or 0
-    joined = docs.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, "key")
+    joined = docs.join(places, "key")
     return joined.select("key", "text", "places").mapInArrow(run, "key long, block long, parts int, at long, low long, left binary, right binary")
 
 
@@ -240,8 +239,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rows = stored(_anchor_rows(docs, length), "anchors")
     again = stored(rows.groupBy("block").count().filter("count > 1").select("block"), "blocks")
-    n = again.count()
-    rows = stored(rows.join(F.broadcast(again) if n * 16 <= BROADCAST_BYTES else again, "block"), "repeated")
+    rows = stored(rows.join(again, "block"), "repeated")
     place = F.struct("key", "at", "low", "high")
     kinds = stored(rows.groupBy("block", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")), "contexts")
     whole = rows.join(kinds.filter("n > 1").select("block", "context"), ["block", "context"]).select("key", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
@@ -282,7 +280,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     spans = repeated_spans(rows.select("key", "text"), length)
-    size = spans.agg(F.sum(F.size("spans") * 16 + 16)).first()[0] or 0
-    joined = rows.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "key", "left").select("id", "text", "spans")
+    joined = rows.join(spans, "key", "left").select("id", "text", "spans")
     kind = dict(rows.dtypes)["id"]
     return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text).withColumnRenamed("id", id_col)
