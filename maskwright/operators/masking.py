@@ -71,7 +71,7 @@ def _steps(rules: list[Rule], pieces: bool = False) -> list[Column]:
     """The rules as few columns over ``__text`` and ``__folded``, so that plans stay short.
 
     Each rule's outcome is bound once by an array of one. Columns are built once for a session and list
-    of rules. With ``pieces``, ``__text`` is an array of (open, text) and the rules run over its open texts.
+    of rules. With ``pieces``, ``__text`` is an array of (of, open, text) and the rules run over its open texts.
     """
     session = SparkSession.active().sparkContext.applicationId
     return _built(session, tuple(rules), pieces)
@@ -91,7 +91,7 @@ def _built(session: str, rules: tuple[Rule, ...], pieces: bool) -> list[Column]:
 
 
 def _opened(change: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: F.struct(x["open"].alias("open"), F.when(x["open"], change(x["text"])).otherwise(x["text"]).alias("text"))
+    return lambda x: F.struct(x["of"].alias("of"), x["open"].alias("open"), F.when(x["open"], change(x["text"])).otherwise(x["text"]).alias("text"))
 
 
 def enabled_rules(settings: Settings, rules: Iterable[Rule] | None = None) -> list[Rule]:
@@ -124,7 +124,7 @@ def mask_plain(df: DataFrame, column: str, settings: Settings | None = None, rul
 
 
 def mask_pieces(df: DataFrame, column: str, settings: Settings) -> DataFrame:
-    """``mask_plain`` for the open pieces of an array of (open, text)."""
+    """``mask_plain`` for the open pieces of an array of (of, open, text)."""
     text, normal = "__text", "__normal"
     df = df.withColumn(normal, F.transform(column, _opened(normalize))).withColumn(text, F.col(normal))
     df = df.withColumn("__folded", F.lower(F.upper(F.array_join(F.transform(normal, lambda x: x["text"]), " "))))
@@ -132,11 +132,11 @@ def mask_pieces(df: DataFrame, column: str, settings: Settings) -> DataFrame:
         df = df.withColumn(text, step)
     wide = F.exists(F.zip_with(column, normal, lambda a, b: a["text"] != b["text"]), lambda x: x)
     texts = lambda c: F.when(wide, F.transform(c, lambda x: x["text"]))
-    df = df.withColumn("__back", restore_widths(texts(column), texts(normal), texts(text)))
-    out = F.when(F.col("__back").isNotNull(), F.zip_with(text, "__back", lambda x, t: F.struct(x["open"].alias("open"), t.alias("text")))).otherwise(F.col(text))
+    df = df.withColumns({"__a": texts(column), "__b": texts(normal), "__c": texts(text)}).withColumn("__back", restore_widths("__a", "__b", "__c"))
+    out = F.when(F.col("__back").isNotNull(), F.zip_with(text, "__back", lambda x, t: F.struct(x["of"].alias("of"), x["open"].alias("open"), t.alias("text")))).otherwise(F.col(text))
     for custom in settings.customs:
         out = F.transform(out, _opened(_replacing(custom)))
-    return df.withColumn(column, out).drop("__folded", normal, text, "__back")
+    return df.withColumn(column, out).drop("__folded", normal, text, "__back", "__a", "__b", "__c")
 
 
 def detections(text: Column, settings: Settings | None = None, rules: Iterable[Rule] | None = None) -> Column:
@@ -176,26 +176,50 @@ def confidence(kind: Column, field_type: Column | None = None) -> Column:
     return base if field_type is None else F.when(field_type == kind, F.least(F.lit(1.0), base + 0.2)).otherwise(base)
 
 
-def mask_text(df: DataFrame, column: str, settings: Settings | None = None, hooks: Hooks | None = None, consent: bool = False) -> DataFrame:
-    """Replace a text column by its masked form and keep its markup.
+def mask_text(df: DataFrame, columns: str | list[str], settings: Settings | None = None, hooks: Hooks | None = None, consent: bool = False, html: bool = True) -> DataFrame:
+    """Replace text columns by their masked forms and keep their markup.
 
-    Where masking would change the tags of an HTML text, its text runs and attribute values are masked
-    one by one instead. With ``consent``, texts that hold a consent phrase stay as they are.
+    All columns of a row run through the rules together. Where masking would change the tags of an HTML
+    text, its text runs and attribute values are masked one by one instead; without ``html`` no tags are
+    looked at. With ``consent``, texts that hold a consent phrase stay as they are. So do null and empty
+    texts, and a text of ``0``.
     """
-    from .markup import mask_markup_safe
+    from .markup import segments, signature
 
     settings, hooks = settings or Settings(), hooks or Hooks()
-    given = "__given"
-    df = df.withColumn(given, F.col(column))
-    if hooks.before:
-        df = df.withColumn(column, hooks.before(F.col(column)))
-    df = mask_markup_safe(df, column, settings)
-    out = hooks.after(F.col(column)) if hooks.after else F.col(column)
-    if hooks.override:
-        out = F.coalesce(hooks.override(F.col(given)), out)
-    if consent:
-        out = F.when(has_consent(F.col(given), settings.consent_phrases), F.col(given)).otherwise(out)
-    return df.withColumn(column, F.when(F.coalesce(F.col(given), F.lit("")).isin("", "0"), F.col(given)).otherwise(out)).drop(given)
+    names = [columns] if isinstance(columns, str) else list(columns)
+    piece = lambda i, open_, text: F.struct(F.lit(i).alias("of"), open_.alias("open"), text.alias("text"))
+    given, plain, parts = "__given", "__plain", "__parts"
+
+    def start(i: int, c: str) -> Column:
+        text = hooks.before(F.col(c)) if hooks.before else F.col(c)
+        open_ = F.col(c).isNotNull() & ~F.col(c).isin("", "0")
+        return piece(i, open_ & ~has_consent(F.col(c), settings.consent_phrases) if consent else open_, text)
+
+    df = df.withColumn(given, F.array(*[start(i, c) for i, c in enumerate(names)])).withColumn(plain, F.col(given))
+    df = mask_pieces(df, plain, settings)
+    if html:
+        pairs = F.zip_with(given, plain, lambda a, b: F.struct(a["of"].alias("of"), a["text"].alias("a"), b["text"].alias("b")))
+        broken = F.filter(pairs, lambda x: x["a"].contains("<") & (x["a"] != x["b"]) & (signature(x["a"]) != signature(x["b"])))
+        split = F.flatten(F.transform(broken, lambda x: F.transform(segments(x["a"]), lambda s: F.struct(x["of"].alias("of"), s["open"].alias("open"), s["text"].alias("text")))))
+        df = df.withColumn(parts, F.when(F.exists(plain, lambda x: x["text"].contains("<")), split))
+        df = mask_pieces(df, parts, settings)
+    out = {}
+    for i, c in enumerate(names):
+        text = F.get(plain, F.lit(i))["text"]
+        if html:
+            mine = F.transform(_of(parts, i), lambda x: x["text"])
+            text = F.when(F.size(mine) > 0, F.array_join(mine, "")).otherwise(text)
+        if hooks.after:
+            text = hooks.after(text)
+        if hooks.override:
+            text = F.coalesce(hooks.override(F.col(c)), text)
+        out[c] = F.when(F.get(given, F.lit(i))["open"], text).otherwise(F.col(c))
+    return df.withColumns(out).drop(given, plain, parts)
+
+
+def _of(parts: str, i: int) -> Column:
+    return F.filter(parts, lambda x: x["of"] == i)
 
 
 def looks_masked(value: Column) -> Column:

@@ -104,3 +104,8 @@ def restore_widths(original: pd.Series, normal: pd.Series, masked: pd.Series) ->
     """The same for arrays of texts."""
     each = lambda o, n, m: [a if c == b else restored(a, b, c) for a, b, c in zip(o, n, m, strict=True)]
     return pd.Series([each(o, n, m) if o is not None else None for o, n, m in zip(original, normal, masked, strict=True)], dtype=object)
+
+
+# Spark is not to move them into the expressions that use what they give.
+restore_width = restore_width.asNondeterministic()
+restore_widths = restore_widths.asNondeterministic()

@@ -32,9 +32,8 @@ def examine(df: DataFrame, fields: list[str], settings: Settings | None = None,
     reported all the same. Null fields count as empty.
     """
     settings = settings or Settings()
-    for f in fields:
-        df = df.withColumn(f"{f}_masked", F.coalesce(F.col(f), F.lit("")))
-        df = mask_text(df, f"{f}_masked", settings, hooks, consent=True)
+    df = df.withColumns({f"{f}_masked": F.coalesce(F.col(f), F.lit("")) for f in fields})
+    df = mask_text(df, [f"{f}_masked" for f in fields], settings, hooks, consent=True)
     texts = {f: F.coalesce(F.col(f), F.lit("")) for f in fields}
     every = F.concat(*[types_of(detections(t, settings, rules)) for t in texts.values()])
     return df.withColumns(

@@ -54,11 +54,11 @@ def comment_group(kind: Column) -> Column:
 def mask_table(df: DataFrame, spec: TableSpec | str, settings: Settings | None = None, only: Column | None = None) -> DataFrame:
     """Mask a table's text columns, in rows where ``only`` holds; texts with a consent phrase stay."""
     spec = SPECS[spec] if isinstance(spec, str) else spec
-    for c in spec.columns:
-        if c in df.columns:
-            out = mask_text(df.withColumn("__kept", F.col(c)), c, settings, consent=True)
-            df = (out if only is None else out.withColumn(c, F.when(only, F.col(c)).otherwise(F.col("__kept")))).drop("__kept")
-    return df
+    columns = [c for c in spec.columns if c in df.columns]
+    out = mask_text(df.withColumns({f"__kept_{c}": F.col(c) for c in columns}), columns, settings, consent=True)
+    if only is not None:
+        out = out.withColumns({c: F.when(only, F.col(c)).otherwise(F.col(f"__kept_{c}")) for c in columns})
+    return out.select(df.columns)
 
 
 def mask_comments(df: DataFrame, settings: Settings | None = None, anonymize: bool = False) -> DataFrame:
@@ -75,9 +75,9 @@ def mask_edits(edits: DataFrame, stored: DataFrame, key: str, spec: TableSpec |
     columns = [c for c in spec.columns if c in edits.columns]
     old = stored.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__was_{c}") for c in columns])
     both = edits.join(old, F.col(key) == F.col("__key"), "left")
-    for c in columns:
-        both = mask_text(both.withColumn("__new", F.col(c)), c, settings, consent=True)
-        both = both.withColumn(c, F.when(F.col("__new").eqNullSafe(F.col(f"__was_{c}")), F.col("__new")).otherwise(F.col(c))).drop("__new")
+    both = mask_text(both.withColumns({f"__new_{c}": F.col(c) for c in columns}), columns, settings, consent=True)
+    kept = {c: F.when(F.col(f"__new_{c}").eqNullSafe(F.col(f"__was_{c}")), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in columns}
+    both = both.withColumns(kept)
     return both.select(edits.columns)
 
 
