@@ -25,7 +25,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 LEAST = 20
 _CANDIDATE = r"[A-Za-z0-9+/_=-]+"
 #: Log-likelihood ratio from which a string is a secret, in all and for each character.
-THRESHOLD, PER_CHAR = 8.0, 0.35
+THRESHOLD, PER_CHAR = 8.0, 0.2
 #: Documents, about, that the two models are fitted on, chosen by a hash of the text.
 FIT_DOCS = 5_000
 #: Matches whose positions are summed together; keeps long lists of matches near linear.
