@@ -17,9 +17,9 @@ from .common import columns, hinted, new_table, slices
 
 END_ID = 2
 #: Distinct text pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
-#: Text encoded at once.
-SLICE = 6 << 20
+REMEMBERED = 400_000
+#: Text looked up at once, and new pieces encoded at once; both bound a worker's memory.
+SLICE, PIECES = 3 << 20, 16_384
 
 _SOLID = np.zeros(256, bool)  # visible ASCII
 _SOLID[0x21:0x7F] = True
@@ -126,7 +126,9 @@ class Encoder:
         known = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
         new = np.flatnonzero(~known)
         if len(new):
-            ids, counts = self._encode_pieces([data[a : a + b].tobytes() for a, b in zip(s[new].tolist(), n[new].tolist(), strict=True)])
+            pieces = [data[a : a + b].tobytes() for a, b in zip(s[new].tolist(), n[new].tolist(), strict=True)]
+            parts = [self._encode_pieces(pieces[i : i + PIECES]) for i in range(0, len(pieces), PIECES)]
+            ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             self.place = np.concatenate((self.place, np.arange(len(new)) + len(self.keys)))
             self.ids, self.look = np.concatenate((self.ids, ids)), np.concatenate((self.look, look[new]))
             self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(counts)))
