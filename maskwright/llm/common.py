@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,21 @@ BROADCAST_BYTES = 32 << 20
 SLICE_BYTES = 2 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of long texts go to Python in small batches; every batch is held by the JVM and by the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the machine; Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

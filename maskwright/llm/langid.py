@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, slices
+from .common import columns, release, slices
 
 #: N-grams in a profile, of a language as of a document.
 TOP = 300
 #: Labelled documents read for each language's profile, about; chosen by a hash of the id.
 FIT_DOCS = 20_000
+#: N-grams of documents that a task holds before it sums them up.
+HELD = 1 << 20
 UNKNOWN = "und"
 
 
@@ -64,15 +66,27 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", top
     """Each language's most frequent n-grams in rank order, from all rows of ``labelled``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, lang = columns(batch, "text", "lang")
-            lang, found = lang.to_pylist(), {}
-            for i, points in _points(text):
-                found.setdefault(lang[i], []).append(_grams(points))
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held = 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
             for name, parts in found.items():
                 codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
                 yield pa.record_batch([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            found.clear()
+
+        for batch in batches:
+            text, lang = columns(batch, "text", "lang")
+            for i, points in _points(text):
+                part = _grams(points)
+                found.setdefault(lang[i].as_py(), []).append(part)
+                held += len(part[0])
+                if held > HELD:
+                    yield from sums()
+                    held = 0
+        yield from sums()
+        release()
 
     counts = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, "lang string, gram long, n long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -112,6 +126,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
                 best = int(away.argmin())
                 names[i], scores[i] = langs[best], max(0.0, 1 - float(away[best]) / (top * len(codes)))
             yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]

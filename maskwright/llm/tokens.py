@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import columns, hinted, new_table, slices
+from .common import columns, hinted, new_table, release, slices
 
 END_ID = 2
 #: Distinct text pieces whose ids a worker remembers before it starts anew.
@@ -298,6 +298,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
                         held_ids, held, tokens, shard = [], [], [], shard + 1
         if held_ids:
             yield flush()
+        release()
 
     schema = pa.schema(
         [("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("wide", pa.bool_()), ("sequence", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary())]
