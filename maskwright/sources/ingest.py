@@ -89,9 +89,9 @@ def mask_form(fields: DataFrame, types: DataFrame, settings: Settings | None = N
     settings = settings or Settings()
     known = fields.join(types.select("form_id", "name", "basetype"), ["form_id", "name"], "left")
     known = known.withColumn("__row", F.struct("form_id", "name")).select("*", F.posexplode_outer("values").alias("__at", "__value"))
-    masked = mask_text(known.withColumn("__given", F.col("__value")), "__value", settings)
-    open_ = F.col("basetype").isin(*maskable) & ~F.col("name").startswith("_") & ~has_consent(F.col("__given"), settings.consent_phrases)
-    value = F.when(F.coalesce(open_, F.lit(False)), F.col("__value")).otherwise(F.col("__given"))
+    masked = mask_text(known.withColumn("__form_value", F.col("__value")), "__value", settings)
+    open_ = F.col("basetype").isin(*maskable) & ~F.col("name").startswith("_") & ~has_consent(F.col("__form_value"), settings.consent_phrases)
+    value = F.when(F.coalesce(open_, F.lit(False)), F.col("__value")).otherwise(F.col("__form_value"))
     rows = masked.groupBy("form_id", "name").agg(F.sort_array(F.collect_list(F.struct("__at", value.alias("v")))).alias("__all"))
     return rows.select("form_id", "name", F.transform("__all", lambda x: x["v"]).alias("values"))
 
