@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +28,7 @@ _BY_SQL = ("email", "card", "phone_us_paren", "ipv4")
 
 def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        @wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # Columns of all rules are many; without their call sites they are built in half the time.
-            spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
-            return f(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = f
         if sql:
             ORACLES[name] = sql
         return f
@@ -434,7 +427,10 @@ def image_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("stream_mask", r"SELECT conv_id, turn, text FROM conversations")
 def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a stream of files, masked and written, then read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="maskwright-stream-")
     run = f"{base}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     source = _table(spark, sf_dir, "conversations")
     rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet*")
