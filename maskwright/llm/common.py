@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def forget_tokenizers() -> None:
+    """Drop what earlier tasks in this worker remembered for encoding; for tasks that don't encode."""
+    known = sys.modules.get(f"{__package__}.tokens")
+    if known:
+        known.encoder.cache_clear()
+        release()
+
+
 def release() -> None:
     """Give memory that a task no longer uses back to the machine; Spark keeps its Python workers for later tasks."""
     pa.default_memory_pool().release_unused()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, release, slices
+from .common import columns, forget_tokenizers, release, slices
 
 #: N-grams in a profile, of a language as of a document.
 TOP = 300
@@ -66,6 +66,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", top
     """Each language's most frequent n-grams in rank order, from all rows of ``labelled``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         held = 0
 
@@ -112,6 +113,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
         ranks[i, np.searchsorted(known, np.array(profiles[k], np.uint64))] = np.arange(len(profiles[k]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         for batch in batches:
             (text,) = columns(batch, "text")
             names, scores = [UNKNOWN] * len(text), [0.0] * len(text)
