@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -65,7 +66,8 @@ class Encoder:
 
     The file must be a byte-level BPE whose splitting pattern keeps a blank with the word after it
     (contractions, letters, digits, other signs, white space), as the public 50k vocabularies do.
-    Pieces are found again by a 64-bit hash and compared by length, first and last bytes.
+    Pieces are found again by a 64-bit hash and compared by length, first and last bytes. The file's
+    added tokens are one id each wherever their strings stand; they must not take blanks or ask for word bounds.
     """
 
     def __init__(self, path: str):
@@ -73,22 +75,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError(f"added tokens that take blanks or ask for word bounds: {path}")
+        self.added = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.any_added = re.compile(b"|".join(map(re.escape, self.added)))  # the longest at a place
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.start, self.look = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros((0, 3), np.uint64)
 
+    def _has_added(self, text: bytes) -> bool:
+        return any(t in text for t in self.added)
+
+    def _sections(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of each added token in the texts. What stands before and after one is encoded like a text of its own."""
+        raw = data.tobytes()
+        found = [m.span() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False) for m in self.any_added.finditer(raw, a, b)] if self._has_added(raw) else []
+        return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
     def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces and how many each has. Most are encoded together as one text, kept apart by blanks or line breaks."""
         counts, found = np.zeros(len(pieces), np.int64), [None] * len(pieces)
         alone, joined, spans, size = [], [], [], 0
         for i, x in enumerate(pieces):
-            if not x or x[-1] in b" \t\n\r\x0b\x0c" or x[-1] >= 128 or not (_SOLID[x[0]] or x[0] == 32 and len(x) > 1 and _SOLID[x[1]]):
+            if not x or x[-1] in b" \t\n\r\x0b\x0c" or x[-1] >= 128 or self._has_added(x) or not (_SOLID[x[0]] or x[0] == 32 and len(x) > 1 and _SOLID[x[1]]):
                 alone.append(i)
                 continue
             if x[0] != 32:
@@ -97,8 +112,10 @@ class Encoder:
             joined.append(x)
             spans.append((i, size, size + len(x)))
             size += len(x)
-        if spans:
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(joined).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+        if spans and self._has_added(text := b"".join(joined)):
+            alone = range(len(pieces))
+        elif spans:
+            ids = np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
             upto = np.concatenate(([0], np.cumsum(self.n_bytes[ids])))
             of, first, last = np.array(spans).T
             a, b = np.searchsorted(upto, first), np.searchsorted(upto, last)
@@ -117,7 +134,11 @@ class Encoder:
         """Ids of all texts (UTF-8 bytes and offsets) in one array, each text's followed by ``end_id``, and their offsets."""
         if len(self.keys) > REMEMBERED:
             self._forget()
-        start = cuts(data, offsets)
+        first, last = self._sections(data, offsets)
+        start = cuts(data, np.sort(np.concatenate((offsets, first, last))))
+        if len(first):
+            token = np.searchsorted(first, start, side="right") - 1
+            start = start[(token < 0) | (start == first[token]) | (start >= last[token])]
         end = np.append(start[1:], len(data))[: len(start)]
         h, first, back = np.unique(W.hashes(data, start, end), return_index=True, return_inverse=True)
         s, n = start[first], (end - start)[first]

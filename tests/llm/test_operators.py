@@ -139,6 +139,39 @@ def test_encoder_equals_the_tokenizer():
     assert got == want
 
 
+def test_added_tokens_are_one_id():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    enc = tokens.Encoder(tokenizer_path())
+    rng = random.Random(4)
+    bits = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<|", "endoftext", " ", "  ", "\n", "a", "'s", " word", "7", "é", "日", ","]
+    texts = ["a <|endoftext|> b", "<|endof", "text|>", "<|endoftext|>", "", "<|endoftext|><|endoftext|>", "<|<|endoftext|>|>", "x <|endoftext|>", " y"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 10))) for _ in range(3000)]
+    want = [e.ids + [2] for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275, 2]
+    for _ in range(2):  # afresh and remembered
+        ids, at = enc.encode(*_bytes(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    ids, counts = enc._encode_pieces([t.encode() for t in texts])  # without the memory
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == want[0][:-1] and counts.tolist() == [len(w) - 1 for w in want]
+
+
+def test_files_and_packing_hold_added_tokens(table):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "later")]
+    want, at = [], 0
+    for i, t in rows:
+        ids = np.array(plain.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in tokens.token_files(table(rows), tokenizer_path()).collect()) == want
+    out = packing.pack_documents(table(rows), tokenizer_path(), length=64).collect()
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in out) == [(i, n, c) for i, _, n, c in want]
+
+
 def _bytes(texts):
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
