@@ -327,7 +327,10 @@ def detect_format(data: Column) -> Column:
 
 
 def scrub(df: DataFrame, content: str = "content", settings: Settings | None = None, dry_run: bool = False) -> DataFrame:
-    """Adds ``result`` (status, format, location, identity, error) and puts scrubbed bytes in the place of the content."""
+    """Adds ``result`` (status, format, location, identity, error) and puts scrubbed bytes in the place of the content.
+
+    Files that ``sources.ingest.image_files`` left unread for their size (``too_large``) have failed.
+    """
     settings = settings or Settings()
     location, identity = settings.strip_location, settings.strip_identity
     kind = T.StructType([T.StructField(n, T.StringType()) for n in ("status", "format")] + [T.StructField(n, T.BooleanType()) for n in ("location", "identity")] + [T.StructField("error", T.StringType()), T.StructField("bytes", T.BinaryType())])
@@ -338,7 +341,10 @@ def scrub(df: DataFrame, content: str = "content", settings: Settings | None = N
         return pd.DataFrame([r | {"bytes": b} for r, b in rows], columns=[f.name for f in kind])
 
     out = df.withColumn("__scrubbed", run(F.col(content)))
-    result = F.struct(*[F.col(f"__scrubbed.{n}").alias(n) for n in ("status", "format", "location", "identity", "error")])
+    fields = {n: F.col(f"__scrubbed.{n}") for n in ("status", "format", "location", "identity", "error")}
+    if "too_large" in df.columns:
+        fields["error"] = F.when(F.col("too_large") & F.col(content).isNull(), "File is larger than the scrub size limit.").otherwise(fields["error"])
+    result = F.struct(*[c.alias(n) for n, c in fields.items()])
     return out.withColumns({"result": result, content: F.col("__scrubbed.bytes")}).drop("__scrubbed")
 
 

@@ -105,11 +105,18 @@ def count_items(tables: dict[str, DataFrame]) -> DataFrame:
     return report_all([df.agg(F.count(F.lit(1)).alias("items")).select(F.lit(t).alias("target"), "items") for t, df in tables.items()])
 
 
-def mask_result(df: DataFrame, column: str, settings: Settings | None = None) -> DataFrame:
-    """For texts of up to 10,000 characters: masked, changed, detected_types, consent_bypassed, masking_enabled."""
+def mask_result(df: DataFrame, column: str, settings: Settings | None = None, keep_long: bool = False) -> DataFrame:
+    """For texts of up to 10,000 characters: masked, changed, detected_types, consent_bypassed, masking_enabled.
+
+    A null text counts as empty. With ``keep_long`` longer texts are rows too: ``error`` says why, and the
+    other results are null.
+    """
     settings = settings or Settings()
-    kept = df.where(F.length(column) <= TEXT_LIMIT)
-    seen = examine(kept, [column], settings)
+    long_ = F.coalesce(F.length(column), F.lit(0)) > TEXT_LIMIT
+    if keep_long:
+        done = mask_result(df, column, settings).withColumn("error", F.lit(None).cast("string"))
+        return done.unionByName(df.where(long_).withColumn("error", F.lit(f"Text is limited to {TEXT_LIMIT} characters.")), allowMissingColumns=True)
+    seen = examine(df.where(~long_), [column], settings)
     enabled = any(settings.masked(t) for t in ("email", "phone", "card", "ssn", "ip", "token", "password", "contact", "address"))
     return seen.withColumnsRenamed({f"{column}_masked": "masked", "would_change": "changed"}).withColumn("masking_enabled", F.lit(enabled))
 

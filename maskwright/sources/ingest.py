@@ -97,5 +97,8 @@ def mask_form(fields: DataFrame, types: DataFrame, settings: Settings | None = N
 
 
 def image_files(spark, path: str, limit: int = 100 << 20) -> DataFrame:
-    """Image files of up to ``limit`` bytes under a path; larger ones are left unread."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= limit)
+    """Image files under a path. Those above ``limit`` bytes are not read: their ``content`` is null and ``too_large`` is true."""
+    files = spark.read.format("binaryFile").load(path)
+    read = files.where(F.col("length") <= limit).withColumn("too_large", F.lit(False))
+    unread = files.where(F.col("length") > limit).select(*[F.lit(None).cast("binary").alias(c) if c == "content" else F.col(c) for c in files.columns], F.lit(True).alias("too_large"))
+    return read.unionByName(unread)

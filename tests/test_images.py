@@ -109,3 +109,17 @@ def test_tables_of_images(spark, tmp_path):
     now = spark.createDataFrame([("p", "clean"), ("q", "clean")], "path string, status string")
     then = spark.createDataFrame([("p", "scrubbed")], "path string, status string")
     assert {r.path: r.status for r in images.carried_status(now, then).collect()} == {"p": "scrubbed", "q": "clean"}
+
+
+def test_files_above_the_limit_have_failed(spark, tmp_path):
+    from maskwright.sources.ingest import image_files
+
+    (tmp_path / "large.img").write_bytes(FILES["jpeg"] + bytes(5000))
+    (tmp_path / "small.img").write_bytes(FILES["jpeg"])
+    files = image_files(spark, str(tmp_path), limit=len(FILES["jpeg"])).withColumn("id", F.lit(1))
+    out = images.scrub(files).cache()
+    got = {r.path.rsplit("/", 1)[1]: (r.result.status, r.result.error, r.content is None, r.length) for r in out.collect()}
+    assert got["large.img"] == ("failed", "File is larger than the scrub size limit.", True, len(FILES["jpeg"]) + 5000)
+    assert got["small.img"][:3] == ("scrubbed", "", False)
+    assert [r.status for r in images.status_of(out).collect()] == ["failed"]
+    assert "unreadable" in images.inspect(out).first().detected_types

@@ -48,6 +48,15 @@ def test_preview_and_mask_result(spark):
     assert len(rows) == 1 and rows[0].changed and rows[0].masked == "a***@b.co a***@b.co"
 
 
+def test_mask_result_keeps_null_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "a@b.co"), (2, None), (3, "x" * 10_001), (4, "y" * 10_000)], "id int, text string")
+    assert {r.id: r.masked for r in scan.mask_result(df, "text").collect()} == {1: "a***@b.co", 2: "", 4: "y" * 10_000}
+    rows = {r.id: r for r in scan.mask_result(df, "text", keep_long=True).collect()}
+    assert set(rows) == {1, 2, 3, 4} and not rows[2].changed and rows[2].detected_types == []
+    assert rows[3].error == "Text is limited to 10000 characters." and rows[3].masked is None and len(rows[3].text) == 10_001
+    assert [rows[i].error for i in (1, 2, 4)] == [None] * 3
+
+
 def test_report_sinks(posts, tmp_path, spark):
     rows = scan.report(posts, "post", "id", ["content"]).cache()
     assert scan.write_report(rows, "", "count") == rows.count()
