@@ -195,7 +195,7 @@ def crc(ids: np.ndarray) -> int:
 
 #: Ids in a shard, about; a longer document makes a longer shard.
 SHARD = 400_000
-ROUNDS, PAIRS, LEAST = 6, 1024, 16
+PAIRS, LEAST = 1024, 16
 
 
 def _replace(seq: np.ndarray, left: np.ndarray, right: np.ndarray, base: int, n_symbols: int) -> np.ndarray:
@@ -233,22 +233,29 @@ def _replace(seq: np.ndarray, left: np.ndarray, right: np.ndarray, base: int, n_
 def compress(ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of one shard: (sequence, rules as pairs of symbols, expansion length of each rule).
 
-    Each round counts all neighbouring pairs and replaces the most frequent ones by new symbols, from
-    ``n_ids`` on, until no pair is frequent or the rounds are over.
+    Each round counts neighbouring pairs and replaces the most frequent ones by new symbols, from
+    ``n_ids`` on, until no pair is frequent. Pairs without a symbol of the last round are counted again
+    where that left some aside, and at the end.
     """
     seq, rules, lengths = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], np.ones(n_ids, np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
-        pairs = np.sort(seq[:-1] << 32 | seq[1:])
+    fresh = 0
+    while len(seq) > LEAST:
+        pairs = seq[:-1] << 32 | seq[1:]
+        if fresh:
+            pairs = pairs[(seq[:-1] >= fresh) | (seq[1:] >= fresh)]
+        pairs.sort()
         start = np.concatenate(([0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1))
         count = np.diff(np.append(start, len(pairs)))
         often = np.flatnonzero(count >= LEAST)
         if not len(often):
-            break
+            if not fresh:
+                break
+            fresh = 0
+            continue
         best = often[np.lexsort((often, -count[often]))[:PAIRS]]
         left, right = pairs[start[best]] >> 32, pairs[start[best]] & 0xFFFFFFFF
         base = len(lengths)
+        fresh = base if len(often) <= PAIRS else 0
         seq = _replace(seq, left, right, base, base)
         rules.append(np.stack((left, right), 1))
         lengths = np.concatenate((lengths, lengths[left] + lengths[right]))

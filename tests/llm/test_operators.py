@@ -186,6 +186,13 @@ def test_re_pair_round_trip(ids):
         assert (tokens.expand_range(seq, rules, lengths, 10, a, 50) == ids[a : a + 50]).all()
 
 
+@pytest.mark.parametrize("ids", [[5] * 100_000, [1, 2, 3] * 20_000, np.random.default_rng(1).integers(0, 10, 30_000).tolist()])
+def test_re_pair_leaves_no_frequent_pair(ids):
+    seq, rules, lengths = tokens.compress(np.array(ids, np.int64), 10)
+    assert max(Counter(zip(seq.tolist(), seq[1:].tolist(), strict=False)).values(), default=0) < tokens.LEAST
+    assert tokens.expand(seq, rules, 10).tolist() == ids
+
+
 def test_token_files(table, odd_rows, monkeypatch):
     rows = unique(odd_rows)
     monkeypatch.setattr(tokens, "SHARD", 3000)
