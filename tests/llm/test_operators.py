@@ -260,6 +260,15 @@ def test_jaccard_of_a_large_group_of_near_copies(table, monkeypatch):
     assert out == brute.jaccard(rows, 4, 85)
 
 
+def test_sets_too_large_for_16_bits_are_not_bounded(spark):
+    full, small = b"\xff\xff" * jaccard_join.DIMS, b"\x01\x00" * jaccard_join.DIMS
+    points = [(1, 1, 10_000_000, full), (2, 2, 10_100_000, full), (3, 3, 128, small)]
+    df = spark.createDataFrame([(7, *p) for p in points], "sig long, set long, component long, n long, vec binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in jaccard_join._bounded(pairs, df, 85).collect()] == [(1, 2)]
+    assert [tuple(r) for r in jaccard_join._tree_pairs(df, 85).collect()] == [(1, 2)]
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(2)
     for n in (1, 2, 3, 5, 7, 12, 30, 80, 300, 1500):
