@@ -11,7 +11,7 @@ from .common import documents
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(documents(spark, sf_dir), words=4, percent=85).drop("key")
+    return jaccard_join.jaccard_components(documents(spark, sf_dir), words=4, percent=85).drop("key", "kept")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,3 +29,10 @@ def test_stages(spark, table, odd_rows, tmp_path):
 @pytest.mark.parametrize("k", range(4))
 def test_stages_of_an_empty_table(spark, table, k):
     assert corpus_pipeline.STAGES[k][1](spark, table([]), "").count() == 0
+
+
+def test_near_copies_with_repeated_and_null_ids(spark, table):
+    group = lambda name: [" ".join(f"{name}{i}" for i in range(60)) + f" tail{k}" for k in range(3)]
+    rows = [(5, t) for t in group("a")] + [(5, t) for t in group("b")] + [(None, t) for t in group("c")] + list(zip([None, 9, 8], group("d"), strict=True)) + [(5, ""), (5, "alone")]
+    out = [(r.doc_id, r.text[:1]) for r in corpus_pipeline.near_copies(spark, table(rows), "").collect()]
+    assert sorted(out, key=str) == sorted([(5, "a"), (5, "b"), (None, "c"), (8, "d"), (5, ""), (5, "a")], key=str)
