@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from . import words as W
 from .common import columns, slices, stored
@@ -134,7 +135,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     new[1:] = (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)
     head = np.flatnonzero(new)
     low, high, at = p[head], p[np.append(head[1:], len(p)) - 1], at[head]
-    context = W.mix((total[high + length] - total[low]) * unshift[low] + W.mix((at - low).astype(U) * U(1 << 20) + (high - low).astype(U)))
+    raw = memoryview(data)
+    context = np.array([xxh3_64_intdigest(raw[x:y]) for x, y in zip(low.tolist(), (high + length).tolist(), strict=True)], U)
+    context = W.mix(context ^ W.mix((at - low).astype(U) * U(1 << 20) + (high - low).astype(U)))
     row = np.searchsorted(offsets, low, side="right") - 1
     base = offsets[row]
     return row, block[at].view(np.int64), context.view(np.int64), at - base, low - base, high - base

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from . import words as W
 from .common import columns, hinted, new_table, release, slices
 
 END_ID = 2
-#: Distinct text pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Distinct text pieces whose ids a worker remembers; beyond that it forgets those that did not come again.
+REMEMBERED = 600_000
 #: Text looked up at once, and new pieces encoded at once; both bound a worker's memory.
 SLICE, PIECES = 3 << 20, 16_384
 
@@ -28,6 +29,12 @@ _WORDLIKE = _SOLID.copy()  # also the first bytes of scripts that have no white
 _WORDLIKE[0xC3:0xE0] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[np.r_[65:91, 97:123]] = True
+#: First bytes of characters of two and three bytes, and of any, among which no white space is.
+_TWO, _THREE, _BEGINS = np.zeros(256, bool), np.zeros(256, bool), _SOLID.copy()
+_TWO[0xC3:0xE0] = True
+_THREE[0xE4:0xED] = True
+_BEGINS |= _TWO | _THREE
+U = np.uint64
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -56,9 +63,71 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _eight(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Up to eight bytes from each place as one integer."""
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[start]
-    keep = np.minimum(length, 8)
-    return np.where(np.arange(8) < keep[:, None], words, 0).astype(np.uint8).view("<u8").ravel()
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))[start] & W._LOW[np.minimum(length, 8)]
+
+
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places ``start`` to ``start + length`` of each stretch, one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Pieces:
+    """Numbers for pieces of text, found again by their bytes: a table with open addressing, probed for many at once.
+
+    A piece of up to 16 bytes is its length with its first and its last eight bytes, so that equal keys are
+    equal pieces. Longer ones are kept in a dictionary of their bytes.
+    """
+
+    def __init__(self, bits: int = 18):
+        self.bits, self.slots = bits, np.full(1 << bits, -1, np.int32)
+        self.keys, self.n, self.long = np.zeros((0, 3), U), 0, {}
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        h = W.mix(keys[:, 0] ^ W.mix(keys[:, 1] + keys[:, 2]))
+        return (h >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Number of each key, -1 for those not in the table."""
+        out, open_, mask = np.full(len(keys), -1, np.int64), np.arange(len(keys)), len(self.slots) - 1
+        while len(open_):
+            got = self.slots[at[open_]]
+            there = got >= 0
+            open_, got = open_[there], got[there]
+            known = self.keys[got]
+            mine = keys[open_] if len(open_) < len(keys) else keys
+            same = (known[:, 0] == mine[:, 0]) & (known[:, 1] == mine[:, 1]) & (known[:, 2] == mine[:, 2])
+            out[open_[same]] = got[same]
+            open_ = open_[~same]
+            at[open_] = (at[open_] + 1) & mask
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number different keys that are not in the table, from ``n`` on; those of length 0 stand for longer pieces."""
+        if self.n + len(keys) > len(self.slots) // 2:
+            self.bits = max(self.bits + 1, (2 * (self.n + len(keys))).bit_length())
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+            self._put(np.flatnonzero(self.keys[: self.n, 2]))
+        if self.n + len(keys) > len(self.keys):
+            self.keys = np.concatenate((self.keys, np.zeros((self.n + 2 * len(keys), 3), U)))
+        self.keys[self.n : self.n + len(keys)] = keys
+        self.n += len(keys)
+        self._put(self.n - len(keys) + np.flatnonzero(keys[:, 2]))
+
+    def skip(self, n: int) -> None:
+        """Take the next numbers for longer pieces, which are found in the dictionary."""
+        if self.n + n > len(self.keys):
+            self.keys = np.concatenate((self.keys, np.zeros((self.n + 2 * n, 3), U)))
+        self.keys[self.n : self.n + n] = 0
+        self.n += n
+
+    def _put(self, numbers: np.ndarray) -> None:
+        at, mask = self.place(self.keys[numbers]), len(self.slots) - 1
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            left = self.slots[at] != numbers
+            numbers, at = numbers[left], (at[left] + 1) & mask
 
 
 class Encoder:
@@ -66,8 +135,8 @@ class Encoder:
 
     The file must be a byte-level BPE whose splitting pattern keeps a blank with the word after it
     (contractions, letters, digits, other signs, white space), as the public 50k vocabularies do.
-    Pieces are found again by a 64-bit hash and compared by length, first and last bytes. The file's
-    added tokens are one id each wherever their strings stand; they must not take blanks or ask for word bounds.
+    Pieces are found again by their bytes. The file's added tokens are one id each wherever their strings
+    stand; they must not take blanks or ask for word bounds.
     """
 
     def __init__(self, path: str):
@@ -83,11 +152,21 @@ class Encoder:
             raise ValueError(f"added tokens that take blanks or ask for word bounds: {path}")
         self.added = sorted((t.content.encode() for t in added), key=len, reverse=True)
         self.any_added = re.compile(b"|".join(map(re.escape, self.added)))  # the longest at a place
-        self._forget()
+        self._keep(None)
 
-    def _forget(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.start, self.look = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros((0, 3), np.uint64)
+    def _keep(self, numbers: np.ndarray | None) -> None:
+        """Remember only the pieces of these numbers."""
+        if numbers is None:
+            self.pieces, self.ids, self.start = Pieces(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        else:
+            old, bounds, ids = self.pieces, self.start, self.ids
+            count = (bounds[1:] - bounds[:-1])[numbers]
+            self.pieces, self.ids, self.start = Pieces(), ids[_ragged(bounds[numbers], count)], np.concatenate(([0], np.cumsum(count)))
+            new = np.full(old.n, -1)
+            new[numbers] = np.arange(len(numbers))
+            self.pieces.add(old.keys[numbers])
+            self.pieces.long = {x: int(new[i]) for x, i in old.long.items() if new[i] >= 0}
+        self.again = np.zeros(self.pieces.n, bool)
 
     def _has_added(self, text: bytes) -> bool:
         return any(t in text for t in self.added)
@@ -98,79 +177,110 @@ class Encoder:
         found = [m.span() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False) for m in self.any_added.finditer(raw, a, b)] if self._has_added(raw) else []
         return tuple(np.array(found, np.int64).reshape(-1, 2).T)
 
-    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_at(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces and how many each has. Most are encoded together as one text, kept apart by blanks or line breaks."""
-        counts, found = np.zeros(len(pieces), np.int64), [None] * len(pieces)
-        alone, joined, spans, size = [], [], [], 0
-        for i, x in enumerate(pieces):
-            if not x or x[-1] in b" \t\n\r\x0b\x0c" or x[-1] >= 128 or self._has_added(x) or not (_SOLID[x[0]] or x[0] == 32 and len(x) > 1 and _SOLID[x[1]]):
-                alone.append(i)
-                continue
-            if x[0] != 32:
-                joined.append(b"\n")
-                size += 1
-            joined.append(x)
-            spans.append((i, size, size + len(x)))
-            size += len(x)
-        if spans and self._has_added(text := b"".join(joined)):
-            alone = range(len(pieces))
-        elif spans:
-            ids = np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
-            upto = np.concatenate(([0], np.cumsum(self.n_bytes[ids])))
-            of, first, last = np.array(spans).T
-            a, b = np.searchsorted(upto, first), np.searchsorted(upto, last)
-            if upto[-1] != size or (upto[a] != first).any() or (upto[b] != last).any():
-                alone = range(len(pieces))
+        counts, end = np.zeros(len(start), np.int64), start + length
+        at = lambda i: data[np.clip(i, 0, len(data) - 1)]
+        first, last = at(start), at(end - 1)
+        blank = first == 32
+        # No piece begins or ends by white space of any script.
+        solid = _BEGINS[np.where(blank & (length > 1), at(start + 1), first)] & ~(blank & (length == 1))
+        solid &= _SOLID[last] | (last >= 128) & (length > 2 + blank) & (_TWO[at(end - 2)] | _THREE[at(end - 3)] & (at(end - 2) >= 128))
+        joined = np.flatnonzero(solid & (length > 0)) if not alone else np.zeros(0, np.int64)
+        ids = np.zeros(0, np.uint32)
+        if len(joined):
+            gap = ~blank[joined]
+            width = length[joined] + gap
+            stop = np.cumsum(width)
+            text = np.full(int(stop[-1]), 10, np.uint8)
+            text[_ragged(stop - length[joined], length[joined])] = data[_ragged(start[joined], length[joined])]
+            raw = text.tobytes()
+            if not self._has_added(raw):
+                ids = np.array(self.tokenizer.encode_batch_fast([raw.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+                upto = np.concatenate(([0], np.cumsum(self.n_bytes[ids])))
+                a, b = np.searchsorted(upto, stop - length[joined]), np.searchsorted(upto, stop)
+                if upto[-1] != len(text) or (upto[a] != stop - length[joined]).any() or (upto[b] != stop).any():
+                    ids = np.zeros(0, np.uint32)
+            if len(ids):
+                counts[joined] = b - a
+                ids = ids[_ragged(a, b - a)]
             else:
-                for i, x, y in zip(of.tolist(), a.tolist(), b.tolist(), strict=True):
-                    found[i] = ids[x:y]
-        alone = list(alone)
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in alone], add_special_tokens=False), strict=True):
-            found[i] = np.array(e.ids, np.uint32)
-        counts[:] = [len(x) for x in found]
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), counts
+                joined = joined[:0]
+        rest = np.ones(len(start), bool)
+        rest[joined] = False
+        rest = np.flatnonzero(rest)
+        if not len(rest):
+            return ids, counts
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)], add_special_tokens=False)]
+        counts[rest] = [len(x) for x in made]
+        bounds = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        out[_ragged(bounds[joined], counts[joined])] = ids
+        out[_ragged(bounds[rest], counts[rest])] = [i for x in made for i in x]
+        return out, counts
+
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a list of pieces, without the memory."""
+        data, length = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces], np.int64)
+        return self._encode_at(data, np.cumsum(length) - length, length, self._has_added(data.tobytes()))
+
+    def _remember(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, alone: bool) -> None:
+        """Encode pieces that are not known; their numbers are the next ones."""
+        parts = [self._encode_at(data, start[i : i + PIECES], length[i : i + PIECES], alone) for i in range(0, len(start), PIECES)]
+        self.ids = np.concatenate((self.ids, *(x for x, _ in parts)))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate([n for _, n in parts]))))
+        self.again = np.concatenate((self.again, np.zeros(len(start), bool)))
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, alone: bool) -> np.ndarray:
+        """Number of each piece; new pieces are encoded."""
+        keys = np.stack((_eight(data, start, length), _eight(data, np.maximum(start, start + length - 8), length), length.astype(U)), 1)
+        long = np.flatnonzero(length > 16)
+        out = self.pieces.find(keys, self.pieces.place(keys))
+        out[long] = -1
+        self.again[out[out >= 0]] = True
+        while len(new := np.flatnonzero((out < 0) & (length <= 16))):
+            at = self.pieces.place(keys[new])
+            _, some = np.unique(at, return_index=True)  # one of each place; others that are different come in the next round
+            self.pieces.add(keys[new[some]])
+            self._remember(data, start[new[some]], length[new[some]], alone)
+            out[new] = self.pieces.find(keys[new], self.pieces.place(keys[new]))
+        if len(long):
+            raw = [data[a : a + n].tobytes() for a, n in zip(start[long].tolist(), length[long].tolist(), strict=True)]
+            first: dict[bytes, int] = {}
+            for i, x in zip(long.tolist(), raw, strict=True):
+                if x not in self.pieces.long:
+                    first.setdefault(x, i)
+            if first:
+                self.pieces.long.update(zip(first, range(self.pieces.n, self.pieces.n + len(first)), strict=True))
+                fresh = np.fromiter(first.values(), np.int64)
+                self.pieces.skip(len(first))
+                self._remember(data, start[fresh], length[fresh], alone)
+            out[long] = [self.pieces.long[x] for x in raw]
+            self.again[out[long]] = length[long] <= 64
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8 bytes and offsets) in one array, each text's followed by ``end_id``, and their offsets."""
-        if len(self.keys) > REMEMBERED:
-            self._forget()
+        if self.pieces.n > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
+            kept = np.flatnonzero(self.again)
+            self._keep(kept if len(kept) < REMEMBERED // 2 else None)
         first, last = self._sections(data, offsets)
         start = cuts(data, np.sort(np.concatenate((offsets, first, last))))
         if len(first):
             token = np.searchsorted(first, start, side="right") - 1
             start = start[(token < 0) | (start == first[token]) | (start >= last[token])]
-        end = np.append(start[1:], len(data))[: len(start)]
-        h, first, back = np.unique(W.hashes(data, start, end), return_index=True, return_inverse=True)
-        s, n = start[first], (end - start)[first]
-        look = np.stack((n.astype(np.uint64), _eight(data, s, n), _eight(data, np.maximum(s, s + n - 8), n)), 1)
-        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
-        known = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
-        new = np.flatnonzero(~known)
-        if len(new):
-            pieces = [data[a : a + b].tobytes() for a, b in zip(s[new].tolist(), n[new].tolist(), strict=True)]
-            parts = [self._encode_pieces(pieces[i : i + PIECES]) for i in range(0, len(pieces), PIECES)]
-            ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            self.place = np.concatenate((self.place, np.arange(len(new)) + len(self.keys)))
-            self.ids, self.look = np.concatenate((self.ids, ids)), np.concatenate((self.look, look[new]))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(counts)))
-            self.keys = np.concatenate((self.keys, h[new]))
-            order = np.argsort(self.keys, kind="stable")
-            self.keys, self.place = self.keys[order], self.place[order]
-            at = np.searchsorted(self.keys, h)
-        place = self.place[at] if len(h) else np.zeros(0, np.int64)
-        if (self.look[place] != look).any():  # two pieces with one hash: encode without the memory
-            self._forget()
-            ids, counts = self._encode_pieces([data[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)])
-            out = np.concatenate(([0], np.cumsum(counts)))
-        else:
-            place = place[back.ravel()]
-            lengths = self.start[place + 1] - self.start[place]
-            ends = np.cumsum(lengths)
-            ids = self.ids[np.repeat(self.start[place] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-            out = np.concatenate(([0], ends))[np.searchsorted(start, offsets)]
+        length = np.append(start[1:], len(data))[: len(start)] - start
+        place = self._numbers(data, start, length, alone=len(first) > 0)
+        count = (self.start[1:] - self.start[:-1])[place]
+        ends = np.cumsum(count)
+        out = np.concatenate(([0], ends))[np.searchsorted(start, offsets)]
+        ids = self.ids[_ragged(self.start[place], count)]
         if end_id is None:
             return ids, out
-        return np.insert(ids, out[1:], np.uint32(end_id)), out + np.arange(len(out))
+        whole = np.full(len(ids) + len(offsets) - 1, end_id, np.uint32)
+        texts = np.diff(out)
+        whole[np.repeat(np.arange(len(texts)), texts) + np.arange(len(ids))] = ids
+        return whole, out + np.arange(len(out))
 
 
 @lru_cache(2)
@@ -198,36 +308,40 @@ SHARD = 400_000
 PAIRS, LEAST = 1024, 16
 
 
-def _replace(seq: np.ndarray, left: np.ndarray, right: np.ndarray, base: int, n_symbols: int) -> np.ndarray:
-    """Replace pairs by the symbols from ``base`` on; where pairs overlap, the more frequent (first) one goes in."""
-    row, col = np.zeros(n_symbols, np.int32), np.zeros(n_symbols, np.int32)
-    us, row_of = np.unique(left, return_inverse=True)
-    vs, col_of = np.unique(right, return_inverse=True)
-    row[us], col[vs] = np.arange(1, len(us) + 1), np.arange(1, len(vs) + 1)
-    table = np.zeros((len(us) + 1) * (len(vs) + 1), np.int32)
-    table[(row_of + 1) * (len(vs) + 1) + col_of + 1] = np.arange(len(left)) + 1
-    rank = table[row[seq[:-1]] * (len(vs) + 1) + col[seq[1:]]]  # 0: no pair
-    hit = np.flatnonzero(rank)
-    if not len(hit):
-        return seq
-    r = rank[hit]
-    near = np.diff(hit) == 1
-    # In a run of overlapping hits keep local minima of (rank, place); equal neighbours alternate.
-    before = np.concatenate(([False], near & (r[:-1] < r[1:])))
-    after = np.concatenate((near & (r[1:] < r[:-1]), [False]))
-    same = np.concatenate(([False], near & (r[:-1] == r[1:])))
-    begin = np.flatnonzero(~same)
-    odd = (np.arange(len(hit)) - np.repeat(begin, np.diff(np.append(begin, len(hit))))) % 2 == 1
-    keep = ~before & ~after & ~odd
-    kept = hit[keep]
-    ok = np.ones(len(kept), bool)
-    ok[1:] = np.diff(kept) > 1
-    kept, r = kept[ok], r[keep][ok]
-    out = seq.copy()
-    out[kept] = base + r - 1
+def _replace(seq: np.ndarray, at: np.ndarray, rank: np.ndarray, base: int) -> np.ndarray:
+    """Replace the pairs that start ``at`` by the symbols ``base + rank``; where pairs overlap, the more frequent (first) one goes in."""
+    near = np.diff(at) == 1
+    if near.any():
+        # In a run of overlapping pairs keep local minima of (rank, place); equal neighbours alternate.
+        keep = np.ones(len(at), bool)
+        keep[1:] &= ~(near & (rank[:-1] < rank[1:]))
+        keep[:-1] &= ~(near & (rank[1:] < rank[:-1]))
+        same = np.concatenate(([False], near & (rank[:-1] == rank[1:])))
+        if same.any():
+            begin = np.flatnonzero(~same)
+            keep &= (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
+        at, rank = at[keep], rank[keep]
+        free = np.ones(len(at), bool)
+        free[1:] = np.diff(at) > 1
+        at, rank = at[free], rank[free]
+    seq[at] = base + rank
     rest = np.ones(len(seq), bool)
-    rest[kept + 1] = False
-    return out[rest]
+    rest[at + 1] = False
+    return seq[rest]
+
+
+def _hits(seq: np.ndarray, at: np.ndarray | None, left: np.ndarray, right: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, rank) of the pairs ``left, right`` in the sequence, looked for at the places ``at`` or everywhere."""
+    row, col = np.full(n_symbols, -1, np.int32), np.full(n_symbols, -1, np.int32)
+    us, vs = np.unique(left), np.unique(right)
+    row[us], col[vs] = np.arange(len(us)) * len(vs), np.arange(len(vs))
+    table = np.full(len(us) * len(vs), -1, np.int16)
+    table[row[left] + col[right]] = np.arange(len(left))
+    r, c = (row[seq[:-1]], col[seq[1:]]) if at is None else (row[seq[at]], col[seq[at + 1]])
+    some = np.flatnonzero((r >= 0) & (c >= 0))
+    rank = table[r[some] + c[some]]
+    hit = np.flatnonzero(rank >= 0)
+    return some[hit] if at is None else at[some[hit]], rank[hit].astype(np.int32)
 
 
 def compress(ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,14 +351,18 @@ def compress(ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.nd
     ``n_ids`` on, until no pair is frequent. Pairs without a symbol of the last round are counted again
     where that left some aside, and at the end.
     """
-    seq, rules, lengths = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], np.ones(n_ids, np.int64)
+    seq, rules, lengths = ids.astype(np.int32), [np.zeros((0, 2), np.int64)], np.ones(n_ids, np.int64)
     fresh = 0
     while len(seq) > LEAST:
-        pairs = seq[:-1] << 32 | seq[1:]
+        at = None
         if fresh:
-            pairs = pairs[(seq[:-1] >= fresh) | (seq[1:] >= fresh)]
+            new = np.flatnonzero(seq >= fresh)
+            at = np.union1d(new[new < len(seq) - 1], new[new > 0] - 1)
+            pairs = seq[at].astype(np.int64) << 32 | seq[at + 1]
+        else:
+            pairs = seq[:-1].astype(np.int64) << 32 | seq[1:]
         pairs.sort()
-        start = np.concatenate(([0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1))
+        start = np.concatenate(([0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1)) if len(pairs) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(pairs)))
         often = np.flatnonzero(count >= LEAST)
         if not len(often):
@@ -256,23 +374,48 @@ def compress(ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.nd
         left, right = pairs[start[best]] >> 32, pairs[start[best]] & 0xFFFFFFFF
         base = len(lengths)
         fresh = base if len(often) <= PAIRS else 0
-        seq = _replace(seq, left, right, base, base)
+        seq = _replace(seq, *_hits(seq, at, left, right, base), base)
         rules.append(np.stack((left, right), 1))
         lengths = np.concatenate((lengths, lengths[left] + lengths[right]))
     return seq, np.concatenate(rules), lengths[n_ids:]
 
 
+#: Rules that stand for more ids than this are undone step by step, so that their expansions take no room.
+WRITTEN_OUT = 64
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, n_ids: int) -> np.ndarray:
-    """Ids of a sequence of symbols: rules are undone from the last to the first, all at once while any is left."""
-    while len(seq) and int(seq.max()) >= n_ids:
-        is_rule = seq >= n_ids
-        width = 1 + is_rule
-        end = np.cumsum(width)
-        out = np.empty(int(end[-1]), np.int64)
-        out[end - width] = np.where(is_rule, rules[np.where(is_rule, seq - n_ids, 0), 0] if len(rules) else seq, seq)
-        out[end[is_rule] - 1] = rules[seq[is_rule] - n_ids, 1]
+    """Ids of a sequence of symbols: longer rules are undone one step for all at once, the others are written out once and looked up."""
+    parts: list[list[int] | None] = []
+    of = lambda x: [x] if x < n_ids else parts[x - n_ids]
+    for left, right in rules.tolist():
+        x, y = of(left), of(right)
+        parts.append(x + y if x and y and len(x) + len(y) <= WRITTEN_OUT else None)
+    length = np.array([len(x) if x else 0 for x in parts], np.int64)
+    flat = np.fromiter(chain.from_iterable(x for x in parts if x), np.int64)
+    begin = np.cumsum(length) - length
+    seq = seq.astype(np.int64)
+    long = np.concatenate((np.zeros(n_ids, bool), length == 0))
+    while len(hit := np.flatnonzero(long[seq])):
+        place = np.zeros(len(seq), bool)
+        place[hit] = True
+        at = hit + np.arange(len(hit))
+        out = np.empty(len(seq) + len(hit), np.int64)
+        alone = np.ones(len(out), bool)
+        alone[at] = alone[at + 1] = False
+        out[alone] = seq[~place]
+        out[at], out[at + 1] = rules[seq[hit] - n_ids].T
         seq = out
-    return seq
+    hit = np.flatnonzero(seq >= n_ids)
+    if not len(hit):
+        return seq
+    width = np.ones(len(seq), np.int64)
+    width[hit] = length[seq[hit] - n_ids]
+    end = np.cumsum(width)
+    out = np.empty(int(end[-1]), np.int64)
+    out[end - width] = seq
+    out[_ragged((end - width)[hit], width[hit])] = flat[_ragged(begin[seq[hit] - n_ids], width[hit])]
+    return out
 
 
 def expand_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, n_ids: int, start: int, n: int) -> np.ndarray:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 _INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Masks that leave so many low bytes.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 
 #: ASCII white space: space and tab to carriage return.
@@ -49,10 +52,25 @@ def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.nd
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+#: Words up to this many bytes are hashed together, eight bytes of all at a time.
+SHORT = 32
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each word, the same for equal words anywhere."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers(n, _ODD), out=total[1:])
-    unshift = powers(n + 1, _INV)
-    return mix((total[end] - total[start]) * unshift[start] + (end - start).astype(np.uint64))
+    """One 64-bit hash for each word, the same for equal words anywhere.
+
+    Each eight bytes go through a bijective mix with what came before; longer words are hashed one by one.
+    """
+    length = end - start
+    out = mix(length.astype(np.uint64) * _ODD)
+    if not len(out):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    some = np.flatnonzero(length <= SHORT)
+    for at in range(0, SHORT, 8):
+        some = some[length[some] > at]
+        out[some] = mix(out[some] ^ (eight[start[some] + at] & _LOW[np.minimum(length[some] - at, 8)])) * _ODD
+    for i in np.flatnonzero(length > SHORT).tolist():
+        out[i] = xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return mix(out)

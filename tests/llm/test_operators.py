@@ -394,3 +394,48 @@ def test_slices_of_arrow_columns():
     column = pa.array(["abc", None, "", "日本", "x" * 50]).slice(1)
     got = [(row, end, [data[a:b].tobytes().decode() for a, b in zip(at, at[1:], strict=False)]) for row, end, data, at in slices(column, 10)]
     assert got == [(0, 3, ["", "", "日本"]), (3, 4, ["x" * 50])]
+
+
+def thue_morse(n: int, a: str, b: str) -> tuple[str, str]:
+    """Two strings of ``n`` letters whose polynomial hashes modulo 2 ** 64 are equal for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_strings_that_polynomial_hashes_confuse(table):
+    x, y = thue_morse(2048, "a", "b")
+    rows = [(1, f"qqqqqqqq{x}zzzzzzzz"), (2, f"qqqqqqqq{y}zzzzzzzz")]
+    plain = plain_tokenizer()
+    enc = tokens.Encoder(tokenizer_path())
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    ids, at = enc.encode(data, np.array([0, len(rows[0][1]), len(data)]), end_id=None)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [plain.encode(t, add_special_tokens=False).ids for _, t in rows]
+    assert {r.component_id for r in jaccard_join.jaccard_components(table(rows), words=4, percent=85).collect()} == {1, 2}
+    rows = [(i, f"{i} " * 40 + "head " + t + " tail" * 30) for i, t in enumerate([x, y])]
+    want = brute.repeats([t for _, t in rows], 64)
+    out = sorted(suffix_dedup.remove_repeats(table(rows), length=64, keep_text=False).collect())
+    assert [tuple(r)[1:] for r in out] == want
+
+
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def test_encoder_forgets_and_finds_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 500)
+    rng, plain = random.Random(4), plain_tokenizer()
+    enc = tokens.Encoder(tokenizer_path())
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choice("abcdé日 \n'x<|endoftext|>") for _ in range(rng.choice([1, 3, 9, 17, 80]))) for _ in range(60)) + rng.choice(["", " ", "\n", "  ", "　", "<|endoftext|>", "é"]) for _ in range(9)] + ["", " "]
+        raw = [t.encode() for t in texts]
+        ids, at = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_written_out_rules_and_longer_ones():
+    ids = np.tile(np.random.default_rng(1).integers(0, 9, 700), 60)
+    seq, rules, lengths = tokens.compress(ids, 10)
+    assert lengths.max() > tokens.WRITTEN_OUT
+    assert (tokens.expand(seq, rules, 10) == ids).all()
