@@ -439,3 +439,49 @@ def test_written_out_rules_and_longer_ones():
     seq, rules, lengths = tokens.compress(ids, 10)
     assert lengths.max() > tokens.WRITTEN_OUT
     assert (tokens.expand(seq, rules, 10) == ids).all()
+
+
+@pytest.mark.parametrize(("leaf", "fan"), [(64, 8), (3, 2), (1, 2)])
+def test_trees_find_what_their_bound_leaves(monkeypatch, leaf, fan):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "FAN", fan)
+    rng = np.random.default_rng(6)
+    kinds = rng.integers(0, 4, (5, jaccard_join.DIMS))
+
+    def tree(m):
+        points = np.maximum(kinds[rng.integers(0, 5, m)] + rng.integers(-1, 2, (m, jaccard_join.DIMS)) * (rng.random((m, jaccard_join.DIMS)) < 0.1), 0)
+        return jaccard_join.RTree(points, points.sum(1), np.sort(rng.integers(0, max(1, m // 2), m)))
+
+    def left(a, b):
+        most = np.minimum(a.points[:, None], b.points[None]).sum(2)
+        return (185 * most >= 85 * (a.n[:, None] + b.n[None])) & (a.component[:, None] != b.component[None])
+
+    for m, k in ((1, 1), (2, 9), (70, 30), (150, 150)):
+        a, b = tree(m), tree(k)
+        own = {tuple(sorted(p)) for p in np.argwhere(left(a, a)).tolist()}
+        assert {tuple(sorted(p)) for p in zip(*(x.tolist() for x in a.pairs(a, 85, False)), strict=True)} == own
+        assert set(zip(*(x.tolist() for x in a.pairs(b, 85, False)), strict=True)) == {tuple(p) for p in np.argwhere(left(a, b)).tolist()}
+        few = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in a.pairs(a, 85, True)), strict=True)}
+        parent = {int(c): int(c) for c in a.component}
+
+        def root(c, parent=parent):
+            while parent[c] != c:
+                c = parent[c]
+            return c
+
+        for u, v in few:
+            assert (u, v) in own and root(a.component[u]) != root(a.component[v])
+            parent[root(int(a.component[u]))] = root(int(a.component[v]))
+        assert all(root(int(a.component[u])) == root(int(a.component[v])) for u, v in own)
+
+
+def test_links_of_several_trees_of_one_bucket(spark, monkeypatch):
+    points = [(7, i, i, 128, np.full(jaccard_join.DIMS, 1, "<u2").tobytes()) for i in range(9000)]
+    df = spark.createDataFrame(points, "sig long, set long, component long, n long, vec binary")
+    joined = components.components(jaccard_join._tree_pairs(df, 85, spanning=True))
+    assert joined.groupBy("component").count().collect() == [(0, 9000)]
+    two = df.filter("set % 30 = 0 OR set >= 8990").withColumn("component", F.expr("set div 4500"))
+    monkeypatch.setattr(jaccard_join, "PART", 100)
+    sets = [r[0] for r in two.select("set").collect()]
+    want = {(a, b) for a in sets for b in sets if a < 4500 <= b}
+    assert {tuple(r) for r in jaccard_join._tree_pairs(two, 85).collect()} == want
