@@ -17,7 +17,9 @@ def fold_width(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Width folded, and dashes of all kinds between letters or digits as ``-``; the length stays."""
-    return F.regexp_replace(fold_width(text), f"(?<=[0-9A-Za-z])[{P.DASHES}](?=[0-9A-Za-z])", "-")
+    folded = F.regexp_replace(fold_width(text), f"(?<=[0-9A-Za-z])[{P.DASHES}](?=[0-9A-Za-z])", "-")
+    # ASCII texts, most of the rest too, have nothing to fold.
+    return F.when((F.length(text) != F.octet_length(text)) & text.rlike(f"[　！-～{P.DASHES}]"), folded).otherwise(text)
 
 
 def has_consent(text: Column, phrases: tuple[str, ...]) -> Column:

@@ -30,9 +30,27 @@ class Hooks:
     after: Callable[[Column], Column] | None = None
 
 
-def _hinted(rule: Rule, folded: Column) -> Column:
-    """False for texts in which the rule cannot match."""
-    return any_of([folded.contains(h) for h in rule.hints]) if rule.hints else F.lit(True)
+#: Shapes that rules need, which are found faster than the rules' patterns; each begins by a digit or a sign.
+SHAPES = {
+    "digits": r"[0-9](?:[-\s().]{0,2}[0-9]){6}",  # seven, with at most two separators between any two
+    "five": "[0-9]{5}",
+    "dotted": r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]",
+    "hex": "[0-9](?:(?<=[0-9a-fA-F]{16})|(?=[0-9a-fA-F]{15}))",  # a digit within 32 hexadecimal digits has fifteen on one side
+    "labels": r"[:=\t】\]]",
+}
+
+
+def _about(normal: Column) -> Column:
+    """What tells cheaply which rules a text can match; found once for all rules."""
+    return F.struct(F.lower(F.upper(normal)).alias("folded"), *[normal.rlike(x).alias(name) for name, x in SHAPES.items()])
+
+
+def _can_match(rule: Rule, text: Column, about: Column) -> Column:
+    """False for texts in which the rule cannot match; the pattern without its edges is tried before the pattern."""
+    checks = [any_of([about["folded"].contains(h) for h in rule.hints])] if rule.hints else []
+    checks += [about[need] for need in rule.needs]
+    checks += [text.rlike(x) for x in dict.fromkeys((rule.loose, rule.java))]
+    return reduce(lambda a, b: a & b, checks)
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -44,7 +62,7 @@ def _matches(text: Column, rule: Rule) -> Column:
     return F.transform(zipped, lambda x: F.struct(x["g0"].alias("all"), x[f"g{rule.group}"].alias("value"), at(x).alias("at")))
 
 
-def apply_rule(text: Column, rule: Rule, folded: Column) -> Column:
+def apply_rule(text: Column, rule: Rule, about: Column) -> Column:
     """The text with the rule's valid matches masked: split at the matches, mask each, join again."""
     value = lambda x: x["value"]
     masked = (lambda x: F.lit(rule.mask)) if isinstance(rule.mask, str) else lambda x: rule.mask(value(x))
@@ -59,7 +77,7 @@ def apply_rule(text: Column, rule: Rule, folded: Column) -> Column:
 
     pieces = F.transform(_matches(text, rule), one)
     joined = F.array_join(F.zip_with(F.split(text, rule.java, -1), pieces, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(_hinted(rule, folded) & text.rlike(rule.java), joined).otherwise(text)
+    return F.when(_can_match(rule, text, about), joined).otherwise(text)
 
 
 def _replacing(custom: CustomPattern) -> Callable[[Column], Column]:
@@ -68,7 +86,7 @@ def _replacing(custom: CustomPattern) -> Callable[[Column], Column]:
 
 
 def _steps(rules: list[Rule], pieces: bool = False) -> list[Column]:
-    """The rules as few columns over ``__text`` and ``__folded``, so that plans stay short.
+    """The rules as few columns over ``__text`` and ``__about``, so that plans stay short.
 
     Each rule's outcome is bound once by an array of one. Columns are built once for a session and list
     of rules. With ``pieces``, ``__text`` is an array of (of, open, text) and the rules run over its open texts.
@@ -79,10 +97,10 @@ def _steps(rules: list[Rule], pieces: bool = False) -> list[Column]:
 
 @lru_cache(16)
 def _built(session: str, rules: tuple[Rule, ...], pieces: bool) -> list[Column]:
-    folded = F.col("__folded")
+    about = F.col("__about")
 
     def bound(text: Column, rule: Rule) -> Column:
-        return F.get(F.transform(F.array(text), lambda t: apply_rule(t, rule, folded)), F.lit(0))
+        return F.get(F.transform(F.array(text), lambda t: apply_rule(t, rule, about)), F.lit(0))
 
     parts = [rules[i : i + STEP] for i in range(0, len(rules), STEP)]
     if not pieces:
@@ -108,9 +126,9 @@ def mask_plain(df: DataFrame, column: str, settings: Settings | None = None, rul
     """
     settings = settings or Settings()
     chosen = enabled_rules(settings, rules)
-    old, text, folded = "__old", "__text", "__folded"
+    old, text, about = "__old", "__text", "__about"
     df = df.withColumn(old, F.col(column)).withColumn(text, normalize(F.col(column)))
-    df = df.withColumns({folded: F.lower(F.upper(F.col(text))), "__normal": F.col(text)})
+    df = df.withColumns({about: _about(F.col(text)), "__normal": F.col(text)})
     for step in _steps(chosen):
         df = df.withColumn(text, step)
     changed = F.col(text) != F.col("__normal")
@@ -120,14 +138,14 @@ def mask_plain(df: DataFrame, column: str, settings: Settings | None = None, rul
     out = F.when(wide, F.col("__back")).when(changed, F.col(text)).otherwise(F.col(old))
     for custom in settings.customs:
         out = _replacing(custom)(out)
-    return df.withColumn(column, out).drop(old, text, folded, "__normal", "__back")
+    return df.withColumn(column, out).drop(old, text, about, "__normal", "__back")
 
 
 def mask_pieces(df: DataFrame, column: str, settings: Settings) -> DataFrame:
     """``mask_plain`` for the open pieces of an array of (of, open, text)."""
     text, normal = "__text", "__normal"
     df = df.withColumn(normal, F.transform(column, _opened(normalize))).withColumn(text, F.col(normal))
-    df = df.withColumn("__folded", F.lower(F.upper(F.array_join(F.transform(normal, lambda x: x["text"]), " "))))
+    df = df.withColumn("__about", _about(F.array_join(F.transform(normal, lambda x: F.when(x["open"], x["text"])), " ")))
     for step in _steps(enabled_rules(settings), pieces=True):
         df = df.withColumn(text, step)
     wide = F.exists(F.zip_with(column, normal, lambda a, b: a["text"] != b["text"]), lambda x: x)
@@ -136,7 +154,7 @@ def mask_pieces(df: DataFrame, column: str, settings: Settings) -> DataFrame:
     out = F.when(F.col("__back").isNotNull(), F.zip_with(text, "__back", lambda x, t: F.struct(x["of"].alias("of"), x["open"].alias("open"), t.alias("text")))).otherwise(F.col(text))
     for custom in settings.customs:
         out = F.transform(out, _opened(_replacing(custom)))
-    return df.withColumn(column, out).drop("__folded", normal, text, "__back", "__a", "__b", "__c")
+    return df.withColumn(column, out).drop("__about", normal, text, "__back", "__a", "__b", "__c")
 
 
 def detections(text: Column, settings: Settings | None = None, rules: Iterable[Rule] | None = None) -> Column:
@@ -146,26 +164,29 @@ def detections(text: Column, settings: Settings | None = None, rules: Iterable[R
     then custom patterns with their labels. Duplicates stay. Null gives an empty array.
     """
     settings = settings or Settings()
-    normal = F.coalesce(normalize(text), F.lit(""))
-    folded = F.lower(F.upper(normal))
+    chosen = registry() if rules is None else tuple(rules)
     none = F.array().cast(f"array<{DETECTION}>")
 
     def item(kind: str, value: Column, provider) -> Column:
         named = provider(value) if callable(provider) else F.lit(provider).cast("string")
         return F.struct(F.lit(kind).alias("type"), value.alias("value"), named.alias("provider"))
 
-    def of_rule(rule: Rule) -> Column:
+    def of_rule(rule: Rule, x: Column) -> Column:
         valid = lambda v: (v != "") & (rule.valid(v) if rule.valid else F.lit(True))
-        values = F.filter(F.regexp_extract_all(normal, F.lit(rule.java), F.lit(rule.group)), valid)
-        return F.when(_hinted(rule, folded) & normal.rlike(rule.java), F.transform(values, lambda v: item(rule.type, v, rule.provider))).otherwise(none)
+        values = F.filter(F.regexp_extract_all(x["text"], F.lit(rule.java), F.lit(rule.group)), valid)
+        return F.when(_can_match(rule, x["text"], x["about"]), F.transform(values, lambda v: item(rule.type, v, rule.provider))).otherwise(none)
+
+    def of_pattern(kind: str, pattern: str, label: str | None, x: Column) -> Column:
+        return F.transform(F.regexp_extract_all(x["text"], F.lit(pattern), F.lit(0)), lambda v: item(kind, v, label))
 
-    def of_pattern(kind: str, pattern: str, label: str | None) -> Column:
-        return F.transform(F.regexp_extract_all(normal, F.lit(pattern), F.lit(0)), lambda v: item(kind, v, label))
+    def every(x: Column) -> Column:
+        url = F.when(x["about"]["folded"].contains("://"), of_pattern("url", java(URL, "i"), None, x)).otherwise(none)
+        return F.concat(*[of_rule(r, x) for r in chosen], url, *[of_pattern("custom", java(c.pattern, "u"), c.label, x) for c in settings.customs])
 
-    parts = [of_rule(r) for r in (registry() if rules is None else rules)]
-    parts.append(of_pattern("url", java(URL, "i"), None))
-    parts += [of_pattern("custom", java(c.pattern, "u"), c.label) for c in settings.customs]
-    return F.concat(*parts)
+    # The folded text, and what is found out about it, are bound once by arrays of one.
+    normal = F.array(F.coalesce(normalize(text), F.lit("")))
+    seen = F.transform(normal, lambda t: F.struct(t.alias("text"), _about(t).alias("about")))
+    return F.get(F.transform(seen, every), F.lit(0))
 
 
 def confidence(kind: Column, field_type: Column | None = None) -> Column:

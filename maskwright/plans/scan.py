@@ -32,17 +32,22 @@ def examine(df: DataFrame, fields: list[str], settings: Settings | None = None,
     reported all the same. Null fields count as empty.
     """
     settings = settings or Settings()
-    df = df.withColumns({f"{f}_masked": F.coalesce(F.col(f), F.lit("")) for f in fields})
-    df = mask_text(df, [f"{f}_masked" for f in fields], settings, hooks, consent=True)
     texts = {f: F.coalesce(F.col(f), F.lit("")) for f in fields}
-    every = F.concat(*[types_of(detections(t, settings, rules)) for t in texts.values()])
+    found = F.array(*[types_of(detections(t, settings, rules)) for t in texts.values()])
+    # A row of its own for what was found keeps Spark from finding it again in each filter.
+    df = df.select("*", F.explode(F.array(found)).alias("__found"))
+    # Without hooks, only a text in which something was found can change.
+    can_change = lambda i: F.lit(True) if hooks or settings.customs or rules is not None else F.size(F.get("__found", F.lit(i))) > 0
+    df = df.withColumns({f"{f}_masked": F.when(can_change(i), t) for i, (f, t) in enumerate(texts.items())})
+    df = mask_text(df, [f"{f}_masked" for f in fields], settings, hooks, consent=True)
+    df = df.withColumns({f"{f}_masked": F.coalesce(f"{f}_masked", t) for f, t in texts.items()})
     return df.withColumns(
         {
-            "detected_types": F.array_distinct(every),
+            "detected_types": F.array_distinct(F.flatten("__found")),
             "would_change": any_of([F.col(f"{f}_masked") != t for f, t in texts.items()]),
             "consent_bypassed": any_of([has_consent(t, settings.consent_phrases) for t in texts.values()]),
         }
-    )
+    ).drop("__found")
 
 
 def status(item: Column | None = None, applied: Column | None = None, applying: bool = False) -> Column:
