@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard_join, langid, licenses, media, mixing, packing, secrets, suffix_dedup, tokens
 from .common import documents
@@ -27,7 +28,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.text_to_media(documents(spark, sf_dir)), keep_fingerprint=False)
+    return media.media_features(media.text_to_media(documents(spark, sf_dir)))
 
 
 def tokenizer_path() -> str:
@@ -41,7 +42,9 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(documents(spark, sf_dir), keep_text=False)
+    """Also the text that is left; a character that a cut splits becomes U+FFFD."""
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
