@@ -205,8 +205,6 @@ def mask_text(df: DataFrame, columns: str | list[str], settings: Settings | None
     looked at. With ``consent``, texts that hold a consent phrase stay as they are. So do null and empty
     texts, and a text of ``0``.
     """
-    from .markup import segments, signature
-
     settings, hooks = settings or Settings(), hooks or Hooks()
     names = [columns] if isinstance(columns, str) else list(columns)
     piece = lambda i, open_, text: F.struct(F.lit(i).alias("of"), open_.alias("open"), text.alias("text"))
@@ -217,14 +215,7 @@ def mask_text(df: DataFrame, columns: str | list[str], settings: Settings | None
         open_ = F.col(c).isNotNull() & ~F.col(c).isin("", "0")
         return piece(i, open_ & ~has_consent(F.col(c), settings.consent_phrases) if consent else open_, text)
 
-    df = df.withColumn(given, F.array(*[start(i, c) for i, c in enumerate(names)])).withColumn(plain, F.col(given))
-    df = mask_pieces(df, plain, settings)
-    if html:
-        pairs = F.zip_with(given, plain, lambda a, b: F.struct(a["of"].alias("of"), a["text"].alias("a"), b["text"].alias("b")))
-        broken = F.filter(pairs, lambda x: x["a"].contains("<") & (x["a"] != x["b"]) & (signature(x["a"]) != signature(x["b"])))
-        split = F.flatten(F.transform(broken, lambda x: F.transform(segments(x["a"]), lambda s: F.struct(x["of"].alias("of"), s["open"].alias("open"), s["text"].alias("text")))))
-        df = df.withColumn(parts, F.when(F.exists(plain, lambda x: x["text"].contains("<")), split))
-        df = mask_pieces(df, parts, settings)
+    df = _mask_given(df.withColumn(given, F.array(*[start(i, c) for i, c in enumerate(names)])), given, plain, parts, settings, html)
     out = {}
     for i, c in enumerate(names):
         text = F.get(plain, F.lit(i))["text"]
@@ -239,6 +230,38 @@ def mask_text(df: DataFrame, columns: str | list[str], settings: Settings | None
     return df.withColumns(out).drop(given, plain, parts)
 
 
+def _mask_given(df: DataFrame, given: str, plain: str, parts: str, settings: Settings, html: bool) -> DataFrame:
+    """Adds the masked forms of an array of pieces, and the pieces of texts whose tags these would change."""
+    from .markup import segments, signature
+
+    df = mask_pieces(df.withColumn(plain, F.col(given)), plain, settings)
+    if not html:
+        return df.withColumn(parts, F.filter(given, lambda x: F.lit(False)))
+    pairs = F.zip_with(given, plain, lambda a, b: F.struct(a["of"].alias("of"), a["text"].alias("a"), b["text"].alias("b")))
+    broken = F.filter(pairs, lambda x: x["a"].contains("<") & (x["a"] != x["b"]) & (signature(x["a"]) != signature(x["b"])))
+    split = F.flatten(F.transform(broken, lambda x: F.transform(segments(x["a"]), lambda s: F.struct(x["of"].alias("of"), s["open"].alias("open"), s["text"].alias("text")))))
+    return mask_pieces(df.withColumn(parts, F.when(F.exists(plain, lambda x: x["text"].contains("<")), split)), parts, settings)
+
+
+def mask_texts(df: DataFrame, column: str, settings: Settings | None = None, where: Column | None = None) -> DataFrame:
+    """Replace an array of texts by their masked forms, each masked alone with its markup kept; only in rows where ``where`` holds.
+
+    Texts that hold a consent phrase stay, as do null and empty ones, ``0``, and a null array.
+    """
+    settings = settings or Settings()
+    given, plain, parts = "__given", "__plain", "__parts"
+    on = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+
+    def start(x: Column, i: Column) -> Column:
+        open_ = x.isNotNull() & ~x.isin("", "0") & on & ~has_consent(x, settings.consent_phrases)
+        return F.struct(i.alias("of"), F.coalesce(open_, F.lit(False)).alias("open"), x.alias("text"))
+
+    df = _mask_given(df.withColumn(given, F.transform(column, start)), given, plain, parts, settings, html=True)
+    mine = lambda x: F.filter(F.col(parts), lambda y: y["of"] == x["of"])
+    whole = lambda x: F.when(F.size(mine(x)) > 0, F.array_join(F.transform(mine(x), lambda y: y["text"]), "")).otherwise(x["text"])
+    return df.withColumn(column, F.transform(plain, whole)).drop(given, plain, parts)
+
+
 def _of(parts: str, i: int) -> Column:
     return F.filter(parts, lambda x: x["of"] == i)
 
@@ -247,4 +270,4 @@ def looks_masked(value: Column) -> Column:
     return value.contains("***") | (value == "[REDACTED]")
 
 
-__all__ = ["Hooks", "apply_rule", "confidence", "detections", "enabled_rules", "found", "looks_masked", "mask_plain", "mask_text"]
+__all__ = ["Hooks", "apply_rule", "confidence", "detections", "enabled_rules", "found", "looks_masked", "mask_plain", "mask_text", "mask_texts"]

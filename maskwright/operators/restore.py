@@ -13,52 +13,41 @@ from pyspark.sql import types as T
 def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
     """Shortest edits from a to b as (op, place in a, place in b); op is ``=``, ``-`` or ``+``.
 
-    Greedy search by diagonals. A furthest point comes from the diagonal above if that reached further
-    than the one below, or if there is none below; a missing diagonal counts as -1.
+    Of several shortest scripts, the one in which the furthest point of a diagonal (place in a less place
+    in b) comes by an insertion if the diagonal above reached further than the one below, else by a
+    deletion. Each point links to the steps that led to it, so that diagonals share what they have in common.
     """
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    n, m = len(a) - head - tail, len(b) - head - tail
-    front, trail = {1: 0}, []
-
-    def from_above(d: int, k: int) -> bool:
-        return k == -d or (k != d and front.get(k - 1, -1) < front.get(k + 1, -1))
-
-    done = False
-    while not done:
-        d = len(trail)
-        trail.append(dict(front))
-        for k in range(-d, d + 1, 2):
-            x = front.get(k + 1, 0) if from_above(d, k) else front.get(k - 1, 0) + 1
-            while x < n and x - k < m and a[head + x] == b[head + x - k]:
-                x += 1
-            front[k] = x
-            if x >= n and x - k >= m:
-                done = True
-                break
-    middle, x, y = [], n, m
-    for d in range(len(trail) - 1, -1, -1):
-        front = trail[d]
-        k = x - y
-        k_before = k + 1 if from_above(d, k) else k - 1
-        x_before = front.get(k_before, 0)
-        y_before = x_before - k_before
-        while x > x_before and y > y_before:
-            x, y = x - 1, y - 1
-            middle.append(("=", head + x, head + y))
-        if d:
-            if x == x_before:
-                y -= 1
-                middle.append(("+", head + x, head + y))
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    rest_a, rest_b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(rest_a), reversed(rest_b), strict=False)) if x != y), min(len(rest_a), len(rest_b)))
+    rest_a, rest_b = rest_a[: len(rest_a) - tail], rest_b[: len(rest_b) - tail]
+    goal, cost = len(rest_a) - len(rest_b), 0
+
+    def along(place: int, diagonal: int, steps: tuple | None) -> tuple[int, tuple | None]:
+        """From a place on as far as both agree."""
+        upto = place
+        while upto < len(rest_a) and upto - diagonal < len(rest_b) and rest_a[upto] == rest_b[upto - diagonal]:
+            upto += 1
+        return upto, (steps, "=", place, diagonal, upto - place) if upto > place else steps
+
+    furthest = {0: along(0, 0, None)}
+    while furthest.get(goal, (-1,))[0] < len(rest_a):
+        cost += 1
+        for diagonal in range(-cost, cost + 1, 2):
+            above, below = furthest.get(diagonal + 1), furthest.get(diagonal - 1)
+            if below is None or (above is not None and above[0] > below[0]):
+                place, steps = above
+                furthest[diagonal] = along(place, diagonal, (steps, "+", place, diagonal + 1, 1))
             else:
-                x -= 1
-                middle.append(("-", head + x, head + y))
+                place, steps = below
+                furthest[diagonal] = along(place + 1, diagonal, (steps, "-", place, diagonal - 1, 1))
+    runs, steps = [], furthest[goal][1]
+    while steps:
+        steps, *run = steps
+        runs.append(run)
+    middle = [(op, head + place + i, head + place + i - diagonal) for op, place, diagonal, n in reversed(runs) for i in range(n)]
     ends = [("=", len(a) - i, len(b) - i) for i in range(tail, 0, -1)]
-    return [("=", i, i) for i in range(head)] + middle[::-1] + ends
+    return [("=", i, i) for i in range(head)] + middle + ends
 
 
 def restored(original: str, normal: str, masked: str) -> str:

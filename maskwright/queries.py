@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rule_cases
 from .config import CustomPattern, Settings
 from .functions import maskers as M
 from .functions import text as N
@@ -48,6 +49,39 @@ def _masked(df: DataFrame, column: str, *rules: str) -> DataFrame:
     return mask_plain(df, column, rules=_rules(*rules))
 
 
+# What the four rules that find anything in the given tables make of a text, as SQL.
+
+_IS_CARD = r"(length({d}) BETWEEN 13 AND 19 AND list_sum([CASE WHEN i % 2 = 0 THEN CAST(substr(reverse({d}), CAST(i AS INT) + 1, 1) AS INT) ELSE (2 * CAST(substr(reverse({d}), CAST(i AS INT) + 1, 1) AS INT)) // 10 + (2 * CAST(substr(reverse({d}), CAST(i AS INT) + 1, 1) AS INT)) % 10 END for i in range(length({d}))]) % 10 = 0)".replace("{d}", r"regexp_replace(m, '\D', '', 'g')")
+_CARDS_OF = rf"[m for m in regexp_extract_all({{}}, '\b\d{{{{4}}}}[-\s]?\d{{{{4}}}}[-\s]?\d{{{{4}}}}[-\s]?\d{{{{1,7}}}}\b') if {_IS_CARD}]"
+
+
+def _masked_sql(text: str) -> str:
+    """E-mail addresses, then cards one after the other, US telephone numbers and IPv4 addresses."""
+    mail = rf"regexp_replace({text}, '([a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]*@([a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}})', '\1***@\2', 'g')"
+    cards = rf"list_reduce(list_prepend({mail}, {_CARDS_OF.format(mail)}), lambda done, m: replace(done, m, '****-****-****-' || right(regexp_replace(m, '\D', '', 'g'), 4)))"
+    phones = rf"regexp_replace({cards}, '\((\d{{3}})\)\s?(\d{{3}})[-\s]?(\d{{4}})', '***-***-\3', 'g')"
+    octet = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+    return rf"regexp_replace({phones}, '\b{octet}\.{octet}\.{octet}\.{octet}\b', '\1.***.***.\4', 'g')"
+
+
+def _detections_sql(text: str) -> str:
+    """What they find as a list of (type, value), and URLs."""
+    octet = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+    of = lambda kind, values: f"[{{'type': '{kind}', 'value': v}} for v in {values}]"
+    all_of = lambda pattern: f"regexp_extract_all({text}, '{pattern}')"
+    parts = [
+        of("email", all_of(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}")),
+        of("card", _CARDS_OF.format(text)),
+        of("phone", all_of(r"\(\d{3}\)\s?\d{3}[-\s]?\d{4}")),
+        of("ip", all_of(rf"\b(?:{octet}\.){{3}}{octet}\b")),
+        of("url", all_of(r"(?i)\bhttps?://[^\s<>\"'']+")),
+    ]
+    return f"flatten([{', '.join(parts)}])"
+
+
+_CONSENT_SQL = "(" + " OR ".join(f"contains(lower({{0}}), '{p.lower()}')" for p in Settings().consent_phrases) + ")"
+
+
 # Masking of one kind in stored texts.
 
 
@@ -211,6 +245,31 @@ def address_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masked(_table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "text", "jp_address", "jp_city_address", "jp_postal")
 
 
+# Every rule on texts made for it, together with the other rules of its kind.
+
+
+def _rules_query(name: str, *prefixes: str) -> None:
+    names = [r.id for r in BUILT_IN if r.id.startswith(prefixes) and r.id in rule_cases.CASES]
+
+    def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(rule_cases.text_sql(r)).alias("text")) for r in names])
+        rows = _table(spark, sf_dir, "customer").select("c_custkey", F.explode(texts).alias("x")).select("c_custkey", "x.rule", "x.text")
+        return mask_plain(rows, "text", Settings().with_masks(name_text=True), rules=_rules(*names))
+
+    _query(name, rule_cases.expected_sql(names))(masked)
+
+
+_rules_query("rules_credentials", "private_key", "labeled_password", "define_secret", "env_", "curl_user", "auth_basic", "url_userinfo", "bearer")
+_rules_query("rules_documents", "dob", "bank_", "passport", "drivers_license", "health_insurance", "pension", "residence_card")
+_rules_query("rules_contact", "contact_")
+_rules_query("rules_address", "jp_")
+_rules_query("rules_numbers", "email", "card", "ssn", "mynumber", "phone_", "ipv")
+_rules_query("rules_hosting", "hosting_")
+_rules_query("rules_secrets", "secret_")
+_rules_query("rules_ai_keys", "ai_")
+_rules_query("rules_names", "name_")
+
+
 # Normalisation.
 
 _ASCII = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ#"
@@ -265,7 +324,14 @@ def pii_rate_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("hit").cast("long").alias("with_pii"))
 
 
-@_query("scan_report_documents")
+@_query(
+    "scan_report_documents",
+    f"""SELECT doc_id, types, NOT consent AND masked <> text AS would_change, consent AS consent_bypassed,
+        CASE WHEN consent THEN 'consent-skipped' WHEN masked <> text THEN 'would-mask' ELSE 'detected-only' END AS status
+    FROM (SELECT doc_id, text, {_masked_sql("text")} AS masked, {_CONSENT_SQL.format("text")} AS consent,
+            array_to_string(list_sort(list_distinct([d.type for d in {_detections_sql("text")} if d.type <> 'url'])), ',') AS types FROM documents)
+    WHERE types <> '' OR NOT consent AND masked <> text""",
+)
 def scan_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over all documents: what each holds, and whether masking changes it."""
     docs = _table(spark, sf_dir, "documents")
@@ -273,7 +339,11 @@ def scan_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.concat_ws(",", F.array_sort("detected_types")).alias("types"), "would_change", "consent_bypassed", "status")
 
 
-@_query("detections_documents")
+@_query(
+    "detections_documents",
+    f"""SELECT doc_id, CAST(n - 1 AS INT) AS n, found[n].type AS type, found[n].value AS value, CAST(NULL AS VARCHAR) AS provider
+    FROM (SELECT doc_id, found, unnest(range(1, len(found) + 1)) AS n FROM (SELECT doc_id, {_detections_sql("text")} AS found FROM documents))""",
+)
 def detections_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detections(F.col("text"))
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("n", "d"))
@@ -306,7 +376,7 @@ def confidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.explode(types).alias("type")).withColumn("confidence", confidence(F.col("type")))
 
 
-@_query("preview_conversations")
+@_query("preview_conversations", f"SELECT conv_id, turn, CAST(len(list_distinct({_detections_sql('text')})) AS INT) AS found, {_masked_sql('text')} <> text AS changed FROM conversations")
 def preview_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan.preview_text(_table(spark, sf_dir, "conversations"), "text")
     return rows.select("conv_id", "turn", F.size("preview").alias("found"), (F.col("masked") != F.col("text")).alias("changed"))
@@ -371,7 +441,7 @@ def comment_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", ingest.comment_group(kind).alias("grp"))
 
 
-@_query("edit_diff_mask")
+@_query("edit_diff_mask", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_masked_sql("text || ' call (555) 123-4567'")} ELSE text END AS content FROM documents")
 def edit_diff_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was edited since it was stored are masked, the others stay."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
@@ -379,14 +449,18 @@ def edit_diff_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.mask_edits(edits, docs, "doc_id", ingest.TableSpec("edits", ("content",)))
 
 
-@_query("mask_comments_conversations")
+@_query(
+    "mask_comments_conversations",
+    f"""SELECT conv_id, turn, {_masked_sql("text")} AS content, role AS author, '' AS author_url, 'review' AS type,
+        '10.1.' || CAST(conv_id % 250 AS VARCHAR) || '.0' AS author_ip FROM conversations""",
+)
 def mask_comments_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations")
     made = rows.select("conv_id", "turn", F.col("text").alias("content"), F.col("role").alias("author"), F.lit("").alias("author_url"), F.lit("review").alias("type"), F.concat_ws(".", F.lit("10.1"), F.col("conv_id") % 250, F.col("turn") % 250).alias("author_ip"))
     return ingest.mask_comments(made, anonymize=True)
 
 
-@_query("markup_safe_mask")
+@_query("markup_safe_mask", f"SELECT page_id, {_masked_sql('html')} AS html, true AS same_tags FROM pages")
 def markup_safe_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pages, with their tags before and after."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "html", F.col("html").alias("given"))
@@ -394,7 +468,7 @@ def markup_safe_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "html", (markup.signature(F.col("html")) == markup.signature(F.col("given"))).alias("same_tags"))
 
 
-@_query("mask_text_documents")
+@_query("mask_text_documents", f"SELECT doc_id, {_masked_sql('text')} AS text FROM documents")
 def mask_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_plain(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
@@ -424,7 +498,7 @@ def image_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.status_of(images.scrub(df), "c_nationkey")
 
 
-@_query("stream_mask", r"SELECT conv_id, turn, text FROM conversations")
+@_query("stream_mask", "SELECT conv_id, turn, text || ' call ***-***-' || lpad(CAST(conv_id % 10000 AS VARCHAR), 4, '0') AS text FROM conversations")
 def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a stream of files, masked and written, then read again."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -434,6 +508,7 @@ def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = f"{base}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     source = _table(spark, sf_dir, "conversations")
     rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet*")
+    rows = rows.withColumn("text", F.concat("text", F.lit(" call (555) 123-"), F.lpad((F.col("conv_id") % 10_000).cast("string"), 4, "0")))
     masked = streams.mask_stream(rows, ingest.TableSpec("turns", ("text",)))
     streams.write_masked(masked.select("conv_id", "turn", "text"), f"{run}/out", f"{run}/state", once=True).awaitTermination()
     return spark.read.schema(source.select("conv_id", "turn", "text").schema).parquet(f"{run}/out")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.maskers import anonymize_ip
-from ..functions.text import has_consent
-from ..operators.masking import mask_text
+from ..operators.masking import mask_text, mask_texts
 
 
 @dataclass(frozen=True)
@@ -81,19 +81,21 @@ def mask_edits(edits: DataFrame, stored: DataFrame, key: str, spec: TableSpec |
     return both.select(edits.columns)
 
 
-def mask_form(fields: DataFrame, types: DataFrame, settings: Settings | None = None, maskable: tuple[str, ...] = ("textarea",)) -> DataFrame:
+def mask_form(fields: DataFrame, types: DataFrame, settings: Settings | None = None, maskable: tuple[str, ...] = ("textarea",), before: Callable[[Column], Column] | None = None, after: Callable[[Column], Column] | None = None) -> DataFrame:
     """Form fields ``form_id, name, values``: values of free-text fields by their type, but for names with ``_`` in front.
 
-    ``types`` has ``form_id, name, basetype``. Values are an array; each is masked alone.
+    ``types`` has ``form_id, name, basetype``; of repeated ones the first by name counts. Values are an array;
+    each is masked alone, nulls stay. Rows that repeat a form and name are rows of their own, and other columns
+    stay. ``before`` and ``after`` change the whole array ahead of and behind masking.
     """
-    settings = settings or Settings()
-    known = fields.join(types.select("form_id", "name", "basetype"), ["form_id", "name"], "left")
-    known = known.withColumn("__row", F.struct("form_id", "name")).select("*", F.posexplode_outer("values").alias("__at", "__value"))
-    masked = mask_text(known.withColumn("__form_value", F.col("__value")), "__value", settings)
-    open_ = F.col("basetype").isin(*maskable) & ~F.col("name").startswith("_") & ~has_consent(F.col("__form_value"), settings.consent_phrases)
-    value = F.when(F.coalesce(open_, F.lit(False)), F.col("__value")).otherwise(F.col("__form_value"))
-    rows = masked.groupBy("form_id", "name").agg(F.sort_array(F.collect_list(F.struct("__at", value.alias("v")))).alias("__all"))
-    return rows.select("form_id", "name", F.transform("__all", lambda x: x["v"]).alias("values"))
+    kinds = types.groupBy(F.col("form_id").alias("__form"), F.col("name").alias("__name")).agg(F.min("basetype").alias("__kind"))
+    known = fields.join(kinds, (F.col("form_id") == F.col("__form")) & (F.col("name") == F.col("__name")), "left")
+    if before:
+        known = known.withColumn("values", before(F.col("values")))
+    out = mask_texts(known, "values", settings, F.col("__kind").isin(*maskable) & ~F.col("name").startswith("_"))
+    if after:
+        out = out.withColumn("values", after(F.col("values")))
+    return out.select(fields.columns)
 
 
 def image_files(spark, path: str, limit: int = 100 << 20) -> DataFrame:

@@ -89,3 +89,14 @@ def test_stream_equals_batch(spark, posts, tmp_path):
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
     streams.report_stream(streams.read_stream(spark, src, posts.schema), "post", "id", ["content"], str(tmp_path / "rep"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "rep")).select(F.countDistinct("id")).first()[0] == 4
+
+
+def test_forms_keep_repeated_rows_nulls_and_other_columns(spark):
+    rows = [(1, "msg", ["a@b.co"], 7), (1, "msg", ["c@d.co", None, "", "0"], 8), (1, "msg", None, 9), (1, None, ["a@b.co"], 1), (1, "msg", ['<a href="x">a@b.co</a>', "a@b.co I consent to unmasking"], 2), (2, "msg", ["a@b.co"], 3)]
+    form = spark.createDataFrame(rows, "form_id int, name string, values array<string>, seen int")
+    types = spark.createDataFrame([(1, "msg", "textarea"), (1, "msg", "textarea"), (1, None, "textarea")], "form_id int, name string, basetype string")
+    got = sorted((r.seen, r["values"]) for r in ingest.mask_form(form, types).collect())
+    assert got == [(1, ["a@b.co"]), (2, ['<a href="x">a***@b.co</a>', "a@b.co I consent to unmasking"]), (3, ["a@b.co"]), (7, ["a***@b.co"]), (8, ["c***@d.co", None, "", "0"]), (9, None)]
+    assert ingest.mask_form(form.limit(0), types, after=lambda x: x).count() == 0
+    first = ingest.mask_form(form, types, before=lambda x: F.slice(x, 1, 1), after=lambda x: F.transform(x, lambda y: F.concat(y, F.lit("!")))).filter("seen = 8")
+    assert first.collect()[0]["values"] == ["c***@d.co!"]
