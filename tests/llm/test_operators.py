@@ -485,3 +485,20 @@ def test_links_of_several_trees_of_one_bucket(spark, monkeypatch):
     sets = [r[0] for r in two.select("set").collect()]
     want = {(a, b) for a in sets for b in sets if a < 4500 <= b}
     assert {tuple(r) for r in jaccard_join._tree_pairs(two, 85).collect()} == want
+
+
+def test_fine_vectors_leave_every_similar_pair():
+    rng = np.random.default_rng(7)
+    left = []
+    for n in (1, 5, 60, 127, 128, 250, 257, 3000, 70_000):
+        for share in (0.0, 0.5, 0.82, 0.87, 0.93, 1.0):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+            b = np.concatenate((a[: int(n * share)], rng.integers(0, 1 << 63, n - int(n * share) + n // 9).astype(np.uint64) * np.uint64(2)))
+            same = len(np.intersect1d(a, b))
+            similar = 100 * same >= 80 * (len(a) + len(b) - same)
+            passes = [jaccard_join.fine_bound(x, y, 80) for x, y in ((jaccard_join.fine_vector(a), jaccard_join.fine_vector(b)), (jaccard_join.fine_vector(b), jaccard_join.fine_vector(a)))]
+            assert passes[0] == passes[1] and passes[0] >= similar
+            left.append(passes[0])
+    assert not all(left)
+    same_group = np.arange(300).astype(np.uint64)
+    assert jaccard_join.fine_bound(jaccard_join.fine_vector(same_group), jaccard_join.fine_vector(same_group[:250]), 80)
