@@ -151,5 +151,9 @@ def learned_profiles(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, lis
 
 
 def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every document, learned from the labels outside fold 1."""
+    """``doc_id, held_out, lang_pred, score`` for every document, learned from the labels outside fold 1.
+
+    Rows that repeat give a row each; a null id is in fold 0; texts of any length are read whole. An empty
+    table gives no rows, one without labels ``und`` for all. Ties are those of ``predict``.
+    """
     return predict(docs, learned_profiles(docs, fit_docs)).select("doc_id", (fold_of() == 1).alias("held_out"), "lang_pred", "score")

@@ -64,7 +64,8 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, n_bytes, media``: each text's UTF-8 bytes, padded by spaces to whole frames, as 8-bit mono WAV.
 
-    A null text counts as empty and gives one frame of spaces.
+    A null text counts as empty and gives one frame of spaces. Every row gives one row, repeated ones too; an
+    empty table gives none. Texts are read whole; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     words; a null or empty text has size 0 and is taken with 0 words. A source with repetition r is taken
     floor(r) times whole; the rest is a seeded sample of its documents, in the order of a seeded hash of
     the id, up to the fraction of its size. Ties in the hash (also repeated ids) are ordered by size, and
-    equal rows share one decision as a block. Reruns agree.
+    equal rows share one decision as a block. Reruns agree. An empty table gives no rows; texts of any length
+    are counted whole; other columns are not read.
 
     Returns for each row ``<id_col>, <source_col>, size, source_size, target, repeats, taken``.
     """

@@ -259,7 +259,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Returns for each row ``<id_col>, n_bytes, n_removed, n_spans, kept_sha256`` and, if wanted, ``kept``
     (bytes, as a cut may fall within a character). Strings never cross texts; overlaps count, and strings
     are judged on the input. A null text counts as empty; shorter texts stay whole. Rows that repeat an id or
-    a text are rows of their own, and equal long texts go whole. Other columns are not read.
+    a text are rows of their own, and equal long texts go whole. A very long text is worked on alone. An empty
+    table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
