@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Characters in a block.
+#: Bytes in a block.
 BLOCK = 2048
 
 
+def _cut(text: Column, block: int) -> Column:
+    """The text's UTF-8 bytes in blocks of ``block``; an empty text is one empty block.
+
+    A slice of bytes costs its own length wherever it starts. The bytes are bound by a lambda, as they would
+    be made anew for each block otherwise.
+    """
+    starts = lambda raw: F.sequence(F.lit(1), F.greatest(F.octet_length(raw), F.lit(1)), F.lit(block))
+    return F.transform(F.array(text.cast("binary")), lambda raw: F.transform(starts(raw), lambda at: F.substring(raw, at, F.lit(block))))[0]
+
+
 def _name_blocks(blocks: DataFrame) -> DataFrame:
     """Distinct blocks in sorted order as integers.
 
@@ -32,7 +42,7 @@ def _name_blocks(blocks: DataFrame) -> DataFrame:
 def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One collision-free identity (level, name) for each text.
 
-    Level 0 names the fixed-size blocks of all texts by their sorted content. Each further level names
+    Level 0 names the fixed-size blocks of the bytes of all texts by their sorted content. Each further level names
     adjacent pairs of names, until a text has one name left. Two texts have equal (level, name) exactly
     if they are equal. Names are written before use, so that a lost executor can't change them.
 
@@ -40,9 +50,8 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     xxhash64, which tells apart texts under one id. A null text counts as empty; a null id is an id.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(r"[\s\S]{1,%d}" % block), F.lit(0)))
     blocks = (
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), cut.alias("parts"))
+        docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), _cut(text, block).alias("parts"))
         .select("id", "print", F.size("parts").cast("long").alias("nodes"), F.posexplode("parts").alias("pos", "block"))
         .withColumn("pos", F.col("pos").cast("long"))
         .withColumn("key", F.xxhash64("block"))
