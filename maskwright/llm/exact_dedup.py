@@ -11,6 +11,8 @@ from .common import stored
 
 #: Bytes in a block.
 BLOCK = 2048
+#: Groups of at least one in so many rows are joined by broadcast; there are no more than so many.
+HOT = 1000
 
 
 def _cut(text: Column, block: int) -> Column:
@@ -87,19 +89,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns for each row ``<id_col>, keep_id, group_size, kept, text_sha256, id_rows, key``. A null text counts as
     empty. Rows that repeat id and text are all returned and counted; ``id_rows`` says how many; ``key``
-    is the text's xxhash64. A null
-    id is the smallest; a group of null ids only has a null ``keep_id`` and keeps its rows. An empty
-    table gives an empty result; other columns are not read.
+    is the text's xxhash64. A null id is the smallest; a group of null ids only has a null ``keep_id`` and
+    keeps its rows. An empty table gives an empty result; other columns are not read. Rows of a group that
+    holds one in ``HOT`` rows or more stay where they are, the group is sent to them; the others meet their
+    groups by a shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     identity = block_identity(docs, id_col, text_col, block).withColumnsRenamed({"id": "i", "print": "p"})
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), F.sha2(text, 256).alias("text_sha256"))
     rows = stored(rows.join(identity, F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))).drop("i", "p"), "identities")
-    groups = rows.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(rows.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    hot = stored(groups.filter(F.col("group_size") * HOT >= rows.count()), "hot-groups")
+    names = ["level", "name"]
+    grouped = rows.join(F.broadcast(hot), names).unionByName(rows.join(F.broadcast(hot), names, "left_anti").join(groups, names))
     repeats = rows.groupBy("id", "level", "name").count().filter("count > 1").select(F.col("id").alias("i"), F.col("level").alias("l"), F.col("name").alias("n"), F.col("count").alias("c"))
     return (
-        rows.join(groups, ["level", "name"])
-        .join(repeats, F.col("id").eqNullSafe(F.col("i")) & (F.col("level") == F.col("l")) & (F.col("name") == F.col("n")), "left")
+        grouped.join(repeats, F.col("id").eqNullSafe(F.col("i")) & (F.col("level") == F.col("l")) & (F.col("name") == F.col("n")), "left")
         .select(
             F.col("id").alias(id_col),
             "keep_id",

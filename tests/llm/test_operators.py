@@ -36,6 +36,16 @@ def test_exact_duplicates(table, odd_rows):
         assert r.id_rows == groups[text].count(r.doc_id)
 
 
+@pytest.mark.parametrize("hot", [2, 4, 1000])
+def test_exact_duplicates_of_hot_and_small_groups(table, monkeypatch, hot):
+    """Groups that are broadcast and groups that are joined by a shuffle give the same rows."""
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    texts = ["same"] * 9 + ["pair", "pair", None, "", "é" * 20, "é" * 20 + "x", "é" * 20]
+    out = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(list(enumerate(texts))), block=7).collect()}
+    same = {i: [j for j, u in enumerate(texts) if (u or "") == (t or "")] for i, t in enumerate(texts)}
+    assert out == {i: (max(s), len(s), i == max(s)) for i, s in same.items()}
+
+
 def test_exact_duplicates_tell_clashing_keys_apart(table, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.length(c[0].cast("string") if not isinstance(c[0], str) else F.col(c[0])).cast("long"))
     rows = [(1, "abcd" * 9), (2, "abce" * 9), (3, "abcd" * 9), (4, "dcba" * 9)]
