@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, langid, licenses, media, merkle, mixing, packing, secrets, suffix_dedup, tokens
+from . import exact_dedup, jaccard_join, langid, licenses, media, merkle, mixing, packing, secrets, suffix_dedup, token_counts, tokens
 from .common import documents
 
 
@@ -66,6 +66,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], now={"text": tampered}).drop("proof")
 
 
+def piece_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), piece_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mixing": op2_mixing,
@@ -78,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES: dict[str, str] = {
