@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, langid, licenses, media, merkle, mixing, packing, secrets, suffix_dedup, token_counts, tokens
+from . import alignment, exact_dedup, jaccard_join, langid, licenses, media, merkle, mixing, packing, secrets, suffix_dedup, token_counts, tokens
 from .common import documents
 
 
@@ -72,6 +72,10 @@ def piece_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokens(documents(spark, sf_dir), tokenizer_path(), piece_path())
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), piece_path())
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_cross_tokens": op12_cross_tokens,
     "op13_token_counts": op13_token_counts,
 }
 
