@@ -24,6 +24,8 @@ from .subwords import piece_encoder, plain_encoder, with_blank
 
 #: Texts of more bytes are cut into ranges of so many.
 RANGE = 1 << 16
+#: Bytes of text aligned at once in a task.
+AT_ONCE = 1 << 19
 #: Neighbouring fragments that are joined at once.
 JOINED = 8
 #: Pairs of ids whose counts are sent to all tasks at most; rarer pairs are joined by a shuffle.
@@ -234,7 +236,7 @@ def _short(rows: DataFrame, path_a: str, path_b: str, kind: str) -> DataFrame:
         v = Vocabularies(path_a, path_b)
         for batch in batches:
             ids, text = columns(batch, "id", "text")
-            for row, end, raw, raw_at in slices(text):
+            for row, end, raw, raw_at in slices(text, AT_ONCE):
                 data, offsets = with_blank(raw, raw_at)
                 a, a_at, b, b_at, exact = v.encode(data, offsets)
                 used = exact & (np.diff(offsets) > 0)
@@ -251,7 +253,7 @@ def _short(rows: DataFrame, path_a: str, path_b: str, kind: str) -> DataFrame:
                 count[some + 1] = np.diff(got.pairs_at)
                 links = pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.StructArray.from_arrays([pa.array(got.pairs), pa.array(got.times)], ["pair", "times"]))
                 yield pa.record_batch([ids.slice(row, end - row), pa.array(n_a), pa.array(n_b), pa.array(n_groups), pa.array(n_links), pa.array(sha), links], ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
-        release()
+            release()
 
     return rows.mapInArrow(run, f"id {kind}, {_ROW}")
 

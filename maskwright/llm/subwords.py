@@ -14,6 +14,8 @@ from .tokens import Encoder, Pieces, _eight, _ragged
 U = np.uint64
 #: Units remembered by a worker, and their bytes of more than 16; beyond either all are forgotten.
 REMEMBERED, LONG_BYTES = 1_000_000, 32 << 20
+#: Units remembered where a worker remembers another vocabulary's pieces too.
+BESIDE = 300_000
 #: Pairs of tokens remembered; units up to so many characters go through their prefixes together, so many characters at once.
 PAIRS, SHORT, BLOCK = 1_000_000, 48, 200_000
 
@@ -21,15 +23,12 @@ PAIRS, SHORT, BLOCK = 1_000_000, 48, 200_000
 class Units:
     """Numbers for the distinct units of text that came so far; units are found again by their bytes."""
 
-    def __init__(self):
-        self.forget()
-
-    def forget(self) -> None:
-        self.pieces, self.long_bytes = Pieces(), 0
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.pieces, self.long_bytes = most, Pieces(), 0
 
     @property
     def full(self) -> bool:
-        return self.pieces.n > REMEMBERED or self.long_bytes > LONG_BYTES
+        return self.pieces.n > self.most or self.long_bytes > LONG_BYTES
 
     def numbers(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Each unit's number, and for each new number, in order, the place in ``start`` of a unit that has it."""
@@ -284,7 +283,7 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.units, self.ids, self.exact = Units(), Ragged(np.uint16 if len(self.model.bytes) <= 1 << 16 else np.uint32), np.zeros(0, bool)
+        self.units, self.ids, self.exact = Units(BESIDE), Ragged(np.uint16 if len(self.model.bytes) <= 1 << 16 else np.uint32), np.zeros(0, bool)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, offsets, exact) of texts that begin with a blank; ``exact`` where the tokens' bytes are the text."""
