@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field, replace
 
+from . import dialect
 from .patterns import CONSENT_PHRASES
 
 VERSION = 5
@@ -26,15 +26,21 @@ class CustomPattern:
         """The replacement without characters that open tags or end attributes; ``***`` if nothing is left."""
         return self.replacement.translate(dict.fromkeys(map(ord, UNSAFE_REPLACEMENT))) or "***"
 
+    @property
+    def java(self) -> str | None:
+        """The pattern as Spark runs it, or None where it has no such form."""
+        return dialect.translated(self.pattern)
+
+    @property
+    def overruns(self) -> tuple[str, ...]:
+        return dialect.overruns(self.pattern)
+
     @property
     def valid(self) -> bool:
+        """Whether it is on, not too long, and compiles in the engine that runs it; needs a session."""
         if not self.enabled or not self.pattern or len(self.pattern.encode()) > CUSTOM_PATTERN_BYTES:
             return False
-        try:
-            re.compile(self.pattern)
-        except re.error:
-            return False
-        return True
+        return self.java is not None and dialect.compiles(self.java)
 
 
 @dataclass(frozen=True)

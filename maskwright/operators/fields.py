@@ -6,8 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Settings
 from ..functions import maskers as M
@@ -44,7 +45,12 @@ VALUE_CHECKS = (
 
 @dataclass(frozen=True)
 class FieldHooks:
-    """Column functions around the masking of a field: (name, value) or (name, value, type) to a column."""
+    """Column functions around the masking of a field: (name, value) or (name, value, type) to a column.
+
+    Around detection: ``before_detect`` changes what is looked at; what ``detect`` gives, if not null, is the type and
+    nothing else is asked; ``by_name`` and ``by_value``, (type, name, value) each, change a type that the name or the value
+    gave, and null from them is no type.
+    """
 
     before: Callable[[Column, Column], Column] | None = None
     override: Callable[[Column, Column], Column] | None = None
@@ -52,6 +58,31 @@ class FieldHooks:
     retype: Callable[[Column, Column, Column], Column] | None = None
     mask_as: Callable[[Column, Column, Column], Column] | None = None
     after: Callable[[Column, Column, Column], Column] | None = None
+    before_detect: Callable[[Column, Column], Column] | None = None
+    by_name: Callable[[Column, Column, Column], Column] | None = None
+    by_value: Callable[[Column, Column, Column], Column] | None = None
+
+
+@dataclass(frozen=True)
+class RecordHooks:
+    """Functions of whole records: ``before`` changes what goes in, ``override`` gives the outcome itself where it is not null,
+    ``after`` changes the masked record, seeing what went in too."""
+
+    before: Callable[[Column], Column] | None = None
+    override: Callable[[Column], Column] | None = None
+    after: Callable[[Column, Column], Column] | None = None
+
+    def around(self, record: Column, mask: Callable[[Column], Column]) -> Column:
+        def outcome(given: Column) -> Column:
+            masked = mask(given)
+            if self.after:
+                masked = self.after(masked, given)
+            return F.coalesce(self.override(given), masked) if self.override else masked
+
+        if not self.before:
+            return outcome(record)
+        # What goes in is bound once by an array of one.
+        return F.get(F.transform(F.array(self.before(record)), outcome), F.lit(0))
 
 
 def _lower(text: Column) -> Column:
@@ -83,9 +114,13 @@ def type_of_value(value: Column) -> Column:
 def type_of_field(name: Column, value: Column, hooks: FieldHooks | None = None) -> Column:
     """Type by a hook, else by name, else by value; null for an empty value (``0`` counts as empty)."""
     hooks = hooks or FieldHooks()
-    found = F.coalesce(type_of_name(name), type_of_value(value))
+    seen = hooks.before_detect(name, value) if hooks.before_detect else value
+    named, looks = type_of_name(name), type_of_value(seen)
+    by_name = F.when(named.isNotNull(), hooks.by_name(named, name, seen)) if hooks.by_name else named
+    by_value = F.when(looks.isNotNull(), hooks.by_value(looks, name, seen)) if hooks.by_value else looks
+    found = F.when(named.isNotNull(), by_name).otherwise(by_value)
     if hooks.detect:
-        found = F.coalesce(hooks.detect(name, value), found)
+        found = F.coalesce(hooks.detect(name, seen), found)
     return F.when(value.isNull() | value.isin("", "0"), None).otherwise(found)
 
 
@@ -125,9 +160,10 @@ def mask_value(name: Column, value: Column, settings: Settings | None = None, ho
     return F.when(value.isNull() | value.isin("", "0") | looks_masked(value), value).otherwise(out)
 
 
-def mask_record(record: Column, settings: Settings | None = None, hooks: FieldHooks | None = None) -> Column:
+def mask_record(record: Column, settings: Settings | None = None, hooks: FieldHooks | None = None, around: RecordHooks | None = None) -> Column:
     """A map of field names to values with every value masked but those of system fields."""
-    return F.transform_values(record, lambda k, v: F.when(is_system_field(k), v).otherwise(mask_value(k, v, settings, hooks)))
+    mask = lambda r: F.transform_values(r, lambda k, v: F.when(is_system_field(k), v).otherwise(mask_value(k, v, settings, hooks)))
+    return (around or RecordHooks()).around(record, mask)
 
 
 def mask_nested(record: Column, depth: int, settings: Settings | None = None) -> Column:
@@ -137,6 +173,50 @@ def mask_nested(record: Column, depth: int, settings: Settings | None = None) ->
     return F.transform_values(record, lambda k, v: F.when(is_system_field(k), v).otherwise(mask_nested(v, depth - 1, settings)))
 
 
+def mask_typed(value: Column, kind: T.DataType, settings: Settings | None = None, hooks: FieldHooks | None = None, around: RecordHooks | None = None, name: Column | None = None) -> Column:
+    """A record of any shape, walked by its type: structs, maps and arrays in each other, at any depth.
+
+    Strings are masked as the field whose name they stand under: a struct's field, a map's key, or the place in an
+    array, from 0. What stands under a system field's name stays as a whole, as do numbers and all else that is no string. Hooks of
+    records go around every map. Nulls stay at each level.
+    """
+    walk = lambda v, k, n: mask_typed(v, k, settings, hooks, around, n)
+
+    def under(name: Column, v: Column, k: T.DataType) -> Column:
+        return F.when(is_system_field(name), v).otherwise(walk(v, k, name)) if _holds_text(k) else v
+
+    if not _holds_text(kind):
+        return value
+    if isinstance(kind, T.StringType):
+        return value if name is None else mask_value(name, value, settings, hooks)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[under(F.lit(f.name), value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v, i: under(i.cast("string"), v, kind.elementType))
+    mask = lambda r: F.transform_values(r, lambda k, v: under(k.cast("string"), v, kind.valueType))
+    return (around or RecordHooks()).around(value, mask)
+
+
+def _holds_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_text(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_text(kind.elementType)
+    return _holds_text(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, T.StringType)
+
+
+def mask_records(df: DataFrame, column: str, settings: Settings | None = None, hooks: FieldHooks | None = None, around: RecordHooks | None = None) -> DataFrame:
+    """``mask_typed`` for a column of the frame's own type. A VARIANT column is given the type that all its values
+    fit in, found by one aggregation over the table, and becomes a column of that type."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.VariantType):
+        seen = df.agg(F.schema_of_variant_agg(column)).head()[0] or "VOID"
+        ddl = seen.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
+        df = df.withColumn(column, F.try_variant_get(F.col(column), "$", ddl))
+        kind = df.schema[column].dataType
+    return df.withColumn(column, mask_typed(F.col(column), kind, settings, hooks, around))
+
+
 def preview(name: Column, value: Column, settings: Settings | None = None) -> Column:
     """What a field is taken for: struct of type, value, confidence, enabled, maskable, was_masked."""
     settings = settings or Settings()

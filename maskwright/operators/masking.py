@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CustomPattern, Settings
 from ..functions.text import has_consent, normalize
 from ..functions.validators import any_of, found
+from ..frames import free_prefix
 from ..patterns import URL, java
 from ..rules import Rule, registry
 from .restore import restore_width, restore_widths
@@ -54,12 +55,17 @@ def _can_match(rule: Rule, text: Column, about: Column) -> Column:
 
 
 def _matches(text: Column, rule: Rule) -> Column:
-    """Array of (all, value, at) of the rule's matches: whole match, value, characters before the value."""
+    """Array of (whole, value, at) of the rule's matches: whole match, value, characters before the value."""
     pattern = F.lit(rule.java)
     groups = {g: F.regexp_extract_all(text, pattern, F.lit(g)) for g in {0, rule.group, *rule.before}}
-    zipped = F.arrays_zip(*[c.alias(f"g{g}") for g, c in sorted(groups.items())])
-    at = lambda x: reduce(lambda a, b: a + b, [F.length(x[f"g{g}"]) for g in rule.before], F.lit(rule.gap))
-    return F.transform(zipped, lambda x: F.struct(x["g0"].alias("all"), x[f"g{rule.group}"].alias("value"), at(x).alias("at")))
+    zipped, place = F.arrays_zip(*[groups[g] for g in sorted(groups)]), {g: str(i) for i, g in enumerate(sorted(groups))}
+    at = lambda x: reduce(lambda a, b: a + b, [F.length(x[place[g]]) for g in rule.before], F.lit(rule.gap))
+    return F.transform(zipped, lambda x: F.struct(x["0"].alias("whole"), x[place[rule.group]].alias("value"), at(x).alias("at")))
+
+
+def gave_up(text: Column, overruns: tuple[str, ...]) -> Column:
+    """Whether a rule or custom pattern leaves a text alone, as a bound on its repetitions could cut a match short."""
+    return any_of([text.rlike(x) for x in overruns]) if overruns else F.lit(False)
 
 
 def apply_rule(text: Column, rule: Rule, about: Column) -> Column:
@@ -69,92 +75,140 @@ def apply_rule(text: Column, rule: Rule, about: Column) -> Column:
 
     def one(x: Column) -> Column:
         at = x["at"]
-        put = F.concat(F.left(x["all"], at), masked(x), F.substr(x["all"], at + F.length(value(x)) + 1))
+        put = F.concat(F.left(x["whole"], at), masked(x), F.substr(x["whole"], at + F.length(value(x)) + 1))
         ok = value(x) != ""
         if rule.valid:
             ok = ok & rule.valid(value(x))
-        return F.when(ok, put).otherwise(x["all"])
+        return F.when(ok, put).otherwise(x["whole"])
 
     pieces = F.transform(_matches(text, rule), one)
     joined = F.array_join(F.zip_with(F.split(text, rule.java, -1), pieces, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(_can_match(rule, text, about), joined).otherwise(text)
+    on = _can_match(rule, text, about)
+    return F.when(on & ~gave_up(text, rule.overruns) if rule.overruns else on, joined).otherwise(text)
 
 
 def _replacing(custom: CustomPattern) -> Callable[[Column], Column]:
     literal = custom.safe_replacement.replace("\\", "\\\\").replace("$", "\\$")
-    return lambda text: F.regexp_replace(text, java(custom.pattern, "u"), literal)
+    replaced = lambda text: F.regexp_replace(text, custom.java, literal)
+    return (lambda text: F.when(gave_up(text, custom.overruns), text).otherwise(replaced(text))) if custom.overruns else replaced
+
+
+@dataclass(frozen=True)
+class Step:
+    """Rules applied in one projection; the one rule that may give up stands alone."""
+
+    masked: Column
+    skipped: Column | None = None
 
 
-def _steps(rules: list[Rule], pieces: bool = False) -> list[Column]:
-    """The rules as few columns over ``__text`` and ``__about``, so that plans stay short.
+def _steps(rules: list[Rule], at: str, pieces: bool = False) -> list[Step]:
+    """The rules as few columns over ``<at>text`` and ``<at>about``, so that plans stay short.
 
     Each rule's outcome is bound once by an array of one. Columns are built once for a session and list
-    of rules. With ``pieces``, ``__text`` is an array of (of, open, text) and the rules run over its open texts.
+    of rules. With ``pieces``, the text is an array of (of, open, text) and the rules run over its open texts.
     """
     session = SparkSession.active().sparkContext.applicationId
-    return _built(session, tuple(rules), pieces)
+    return _built(session, tuple(rules), at, pieces)
 
 
 @lru_cache(16)
-def _built(session: str, rules: tuple[Rule, ...], pieces: bool) -> list[Column]:
-    about = F.col("__about")
+def _built(session: str, rules: tuple[Rule, ...], at: str, pieces: bool) -> list[Step]:
+    about, text = F.col(f"{at}about"), F.col(f"{at}text")
 
     def bound(text: Column, rule: Rule) -> Column:
         return F.get(F.transform(F.array(text), lambda t: apply_rule(t, rule, about)), F.lit(0))
 
-    parts = [rules[i : i + STEP] for i in range(0, len(rules), STEP)]
-    if not pieces:
-        return [reduce(bound, some, F.col("__text")) for some in parts]
-    return [F.transform("__text", _opened(lambda t, some=some: reduce(bound, some, t))) for some in parts]
+    parts: list[list[Rule]] = []
+    for rule in rules:
+        if not parts or len(parts[-1]) == STEP or rule.overruns or parts[-1][0].overruns:
+            parts.append([])
+        parts[-1].append(rule)
+
+    def skipped(rule: Rule) -> Column | None:
+        if not rule.overruns:
+            return None
+        up = F.exists(text, lambda x: x["open"] & gave_up(x["text"], rule.overruns)) if pieces else gave_up(text, rule.overruns)
+        return F.when(up, F.array(F.lit(rule.id))).otherwise(_no_ids())
+
+    over = (lambda some: F.transform(text, _opened(lambda t: reduce(bound, some, t)))) if pieces else (lambda some: reduce(bound, some, text))
+    return [Step(over(some), skipped(some[0])) for some in parts]
+
+
+def _no_ids() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _opened(change: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda x: F.struct(x["of"].alias("of"), x["open"].alias("open"), F.when(x["open"], change(x["text"])).otherwise(x["text"]).alias("text"))
 
 
+def _run(df: DataFrame, steps: list[Step], at: str) -> DataFrame:
+    """Apply steps one after the other; ``<at>skipped`` gathers the rules that gave up."""
+    for step in steps:
+        both = {f"{at}text": step.masked}
+        if step.skipped is not None:
+            both[f"{at}skipped"] = F.concat(f"{at}skipped", F.coalesce(step.skipped, _no_ids()))
+        df = df.withColumns(both)
+    return df
+
+
+def _customs(df: DataFrame, settings: Settings, column: str, at: str, pieces: bool = False) -> DataFrame:
+    """Custom patterns, in order, on what the rules left."""
+    for custom in settings.customs:
+        change = _replacing(custom)
+        both = {column: F.transform(column, _opened(change)) if pieces else change(F.col(column))}
+        if custom.overruns:
+            up = F.exists(column, lambda x, c=custom: x["open"] & gave_up(x["text"], c.overruns)) if pieces else gave_up(F.col(column), custom.overruns)
+            both[f"{at}skipped"] = F.concat(f"{at}skipped", F.when(up, F.array(F.lit(f"custom:{custom.label}"))).otherwise(_no_ids()))
+        df = df.withColumns(both)
+    return df
+
+
+def _finish(df: DataFrame, given: list[str], skipped: str | None, at: str) -> DataFrame:
+    """The frame's own columns, and the rules that gave up where they are asked for."""
+    mine = [F.col(f"`{c}`") for c in given if c != skipped]
+    return df.select(*mine, *([F.array_distinct(f"{at}skipped").alias(skipped)] if skipped else []))
+
+
 def enabled_rules(settings: Settings, rules: Iterable[Rule] | None = None) -> list[Rule]:
     return [r for r in (registry() if rules is None else rules) if settings.masked(r.type)]
 
 
-def mask_plain(df: DataFrame, column: str, settings: Settings | None = None, rules: Iterable[Rule] | None = None) -> DataFrame:
+def mask_plain(df: DataFrame, column: str, settings: Settings | None = None, rules: Iterable[Rule] | None = None, skipped: str | None = None) -> DataFrame:
     """Replace a text column by its masked form, whatever markup it has.
 
     Width is folded, rules are applied in order, each on what the ones before it left, and characters
     that no rule touched come back in their original width. Custom patterns go last. Null and empty
     texts stay. A rule costs one search of the texts that have one of its hints, and nothing moves
-    between executors.
+    between executors. A rule whose repetitions a text would drive beyond their bound leaves that text alone and the
+    others go on; ``skipped`` names an added column with the ids of such rules.
     """
-    settings = settings or Settings()
+    settings, at, given = settings or Settings(), free_prefix(df), df.columns
     chosen = enabled_rules(settings, rules)
-    old, text, about = "__old", "__text", "__about"
-    df = df.withColumn(old, F.col(column)).withColumn(text, normalize(F.col(column)))
-    df = df.withColumns({about: _about(F.col(text)), "__normal": F.col(text)})
-    for step in _steps(chosen):
-        df = df.withColumn(text, step)
-    changed = F.col(text) != F.col("__normal")
-    wide = changed & (F.col("__normal") != F.col(old))
-    back = restore_width(*[F.when(wide, F.col(c)) for c in (old, "__normal", text)])
-    df = df.withColumn("__back", back)
-    out = F.when(wide, F.col("__back")).when(changed, F.col(text)).otherwise(F.col(old))
-    for custom in settings.customs:
-        out = _replacing(custom)(out)
-    return df.withColumn(column, out).drop(old, text, about, "__normal", "__back")
-
-
-def mask_pieces(df: DataFrame, column: str, settings: Settings) -> DataFrame:
-    """``mask_plain`` for the open pieces of an array of (of, open, text)."""
-    text, normal = "__text", "__normal"
+    old, text, about, normal, back = (f"{at}{x}" for x in ("old", "text", "about", "normal", "back"))
+    df = df.withColumns({old: F.col(column), text: normalize(F.col(column)), f"{at}skipped": _no_ids()})
+    df = df.withColumns({about: _about(F.col(text)), normal: F.col(text)})
+    df = _run(df, _steps(chosen, at), at)
+    changed = F.col(text) != F.col(normal)
+    wide = changed & (F.col(normal) != F.col(old))
+    df = df.withColumn(back, restore_width(*[F.when(wide, F.col(c)) for c in (old, normal, text)]))
+    df = df.withColumn(column, F.when(wide, F.col(back)).when(changed, F.col(text)).otherwise(F.col(old)))
+    return _finish(_customs(df, settings, column, at), given, skipped, at)
+
+
+def mask_pieces(df: DataFrame, column: str, settings: Settings, at: str) -> DataFrame:
+    """``mask_plain`` for the open pieces of an array of (of, open, text); ``<at>skipped`` is there already."""
+    text, normal, back = (f"{at}{x}" for x in ("text", "normal", "back"))
+    old = [f"{at}{x}" for x in "abc"]
     df = df.withColumn(normal, F.transform(column, _opened(normalize))).withColumn(text, F.col(normal))
-    df = df.withColumn("__about", _about(F.array_join(F.transform(normal, lambda x: F.when(x["open"], x["text"])), " ")))
-    for step in _steps(enabled_rules(settings), pieces=True):
-        df = df.withColumn(text, step)
+    df = df.withColumn(f"{at}about", _about(F.array_join(F.transform(normal, lambda x: F.when(x["open"], x["text"])), " ")))
+    df = _run(df, _steps(enabled_rules(settings), at, pieces=True), at)
     wide = F.exists(F.zip_with(column, normal, lambda a, b: a["text"] != b["text"]), lambda x: x)
     texts = lambda c: F.when(wide, F.transform(c, lambda x: x["text"]))
-    df = df.withColumns({"__a": texts(column), "__b": texts(normal), "__c": texts(text)}).withColumn("__back", restore_widths("__a", "__b", "__c"))
-    out = F.when(F.col("__back").isNotNull(), F.zip_with(text, "__back", lambda x, t: F.struct(x["of"].alias("of"), x["open"].alias("open"), t.alias("text")))).otherwise(F.col(text))
-    for custom in settings.customs:
-        out = F.transform(out, _opened(_replacing(custom)))
-    return df.withColumn(column, out).drop("__about", normal, text, "__back", "__a", "__b", "__c")
+    df = df.withColumns({c: texts(x) for c, x in zip(old, (column, normal, text), strict=True)}).withColumn(back, restore_widths(*old))
+    out = F.when(F.col(back).isNotNull(), F.zip_with(text, back, lambda x, t: F.struct(x["of"].alias("of"), x["open"].alias("open"), t.alias("text")))).otherwise(F.col(text))
+    df = _customs(df.withColumn(column, out), settings, column, at, pieces=True)
+    return df.drop(f"{at}about", normal, text, back, *old)
 
 
 def detections(text: Column, settings: Settings | None = None, rules: Iterable[Rule] | None = None) -> Column:
@@ -174,14 +228,20 @@ def detections(text: Column, settings: Settings | None = None, rules: Iterable[R
     def of_rule(rule: Rule, x: Column) -> Column:
         valid = lambda v: (v != "") & (rule.valid(v) if rule.valid else F.lit(True))
         values = F.filter(F.regexp_extract_all(x["text"], F.lit(rule.java), F.lit(rule.group)), valid)
-        return F.when(_can_match(rule, x["text"], x["about"]), F.transform(values, lambda v: item(rule.type, v, rule.provider))).otherwise(none)
+        on = _can_match(rule, x["text"], x["about"])
+        on = on & ~gave_up(x["text"], rule.overruns) if rule.overruns else on
+        return F.when(on, F.transform(values, lambda v: item(rule.type, v, rule.provider))).otherwise(none)
 
     def of_pattern(kind: str, pattern: str, label: str | None, x: Column) -> Column:
         return F.transform(F.regexp_extract_all(x["text"], F.lit(pattern), F.lit(0)), lambda v: item(kind, v, label))
 
+    def of_custom(c: CustomPattern, x: Column) -> Column:
+        made = of_pattern("custom", c.java, c.label, x)
+        return F.when(gave_up(x["text"], c.overruns), none).otherwise(made) if c.overruns else made
+
     def every(x: Column) -> Column:
         url = F.when(x["about"]["folded"].contains("://"), of_pattern("url", java(URL, "i"), None, x)).otherwise(none)
-        return F.concat(*[of_rule(r, x) for r in chosen], url, *[of_pattern("custom", java(c.pattern, "u"), c.label, x) for c in settings.customs])
+        return F.concat(*[of_rule(r, x) for r in chosen], url, *[of_custom(c, x) for c in settings.customs])
 
     # The folded text, and what is found out about it, are bound once by arrays of one.
     normal = F.array(F.coalesce(normalize(text), F.lit("")))
@@ -197,25 +257,26 @@ def confidence(kind: Column, field_type: Column | None = None) -> Column:
     return base if field_type is None else F.when(field_type == kind, F.least(F.lit(1.0), base + 0.2)).otherwise(base)
 
 
-def mask_text(df: DataFrame, columns: str | list[str], settings: Settings | None = None, hooks: Hooks | None = None, consent: bool = False, html: bool = True) -> DataFrame:
+def mask_text(df: DataFrame, columns: str | list[str], settings: Settings | None = None, hooks: Hooks | None = None, consent: bool = False, html: bool = True, skipped: str | None = None) -> DataFrame:
     """Replace text columns by their masked forms and keep their markup.
 
     All columns of a row run through the rules together. Where masking would change the tags of an HTML
     text, its text runs and attribute values are masked one by one instead; without ``html`` no tags are
     looked at. With ``consent``, texts that hold a consent phrase stay as they are. So do null and empty
-    texts, and a text of ``0``.
+    texts, and a text of ``0``. ``skipped`` names an added column with the ids of rules that gave up on
+    a text of the row. Other columns stay, whatever their names.
     """
-    settings, hooks = settings or Settings(), hooks or Hooks()
+    settings, hooks, at, given_columns = settings or Settings(), hooks or Hooks(), free_prefix(df), df.columns
     names = [columns] if isinstance(columns, str) else list(columns)
     piece = lambda i, open_, text: F.struct(F.lit(i).alias("of"), open_.alias("open"), text.alias("text"))
-    given, plain, parts = "__given", "__plain", "__parts"
+    given, plain, parts = f"{at}given", f"{at}plain", f"{at}parts"
 
     def start(i: int, c: str) -> Column:
         text = hooks.before(F.col(c)) if hooks.before else F.col(c)
         open_ = F.col(c).isNotNull() & ~F.col(c).isin("", "0")
         return piece(i, open_ & ~has_consent(F.col(c), settings.consent_phrases) if consent else open_, text)
 
-    df = _mask_given(df.withColumn(given, F.array(*[start(i, c) for i, c in enumerate(names)])), given, plain, parts, settings, html)
+    df = _mask_given(df.withColumns({given: F.array(*[start(i, c) for i, c in enumerate(names)]), f"{at}skipped": _no_ids()}), at, settings, html)
     out = {}
     for i, c in enumerate(names):
         text = F.get(plain, F.lit(i))["text"]
@@ -227,20 +288,24 @@ def mask_text(df: DataFrame, columns: str | list[str], settings: Settings | None
         if hooks.override:
             text = F.coalesce(hooks.override(F.col(c)), text)
         out[c] = F.when(F.get(given, F.lit(i))["open"], text).otherwise(F.col(c))
-    return df.withColumns(out).drop(given, plain, parts)
+    return _finish(df.withColumns(out), given_columns, skipped, at)
 
 
-def _mask_given(df: DataFrame, given: str, plain: str, parts: str, settings: Settings, html: bool) -> DataFrame:
-    """Adds the masked forms of an array of pieces, and the pieces of texts whose tags these would change."""
-    from .markup import segments, signature
+def _mask_given(df: DataFrame, at: str, settings: Settings, html: bool) -> DataFrame:
+    """Adds the masked forms of an array of pieces, and the HTML of texts whose tags these would change, in parts (of, text)."""
+    from .markup import rendered, segments, signature
 
-    df = mask_pieces(df.withColumn(plain, F.col(given)), plain, settings)
+    given, plain, parts, source = (f"{at}{x}" for x in ("given", "plain", "parts", "source"))
+    df = mask_pieces(df.withColumn(plain, F.col(given)), plain, settings, at)
     if not html:
         return df.withColumn(parts, F.filter(given, lambda x: F.lit(False)))
     pairs = F.zip_with(given, plain, lambda a, b: F.struct(a["of"].alias("of"), a["text"].alias("a"), b["text"].alias("b")))
     broken = F.filter(pairs, lambda x: x["a"].contains("<") & (x["a"] != x["b"]) & (signature(x["a"]) != signature(x["b"])))
-    split = F.flatten(F.transform(broken, lambda x: F.transform(segments(x["a"]), lambda s: F.struct(x["of"].alias("of"), s["open"].alias("open"), s["text"].alias("text")))))
-    return mask_pieces(df.withColumn(parts, F.when(F.exists(plain, lambda x: x["text"].contains("<")), split)), parts, settings)
+    split = F.flatten(F.transform(broken, lambda x: F.transform(segments(x["a"]), lambda s: F.struct(x["of"].alias("of"), s.alias("piece")))))
+    df = df.withColumn(source, F.when(F.exists(plain, lambda x: x["text"].contains("<")), split))
+    values = F.transform(source, lambda x: F.struct(x["of"].alias("of"), x["piece"]["open"].alias("open"), x["piece"]["value"].alias("text")))
+    df = mask_pieces(df.withColumn(parts, values), parts, settings, at)
+    return df.withColumn(parts, F.zip_with(source, parts, lambda s, x: F.struct(s["of"].alias("of"), rendered(s["piece"], x["text"]).alias("text"))))
 
 
 def mask_texts(df: DataFrame, column: str, settings: Settings | None = None, where: Column | None = None) -> DataFrame:
@@ -248,18 +313,18 @@ def mask_texts(df: DataFrame, column: str, settings: Settings | None = None, whe
 
     Texts that hold a consent phrase stay, as do null and empty ones, ``0``, and a null array.
     """
-    settings = settings or Settings()
-    given, plain, parts = "__given", "__plain", "__parts"
+    settings, at, columns = settings or Settings(), free_prefix(df), df.columns
+    given, plain, parts = f"{at}given", f"{at}plain", f"{at}parts"
     on = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
 
     def start(x: Column, i: Column) -> Column:
         open_ = x.isNotNull() & ~x.isin("", "0") & on & ~has_consent(x, settings.consent_phrases)
         return F.struct(i.alias("of"), F.coalesce(open_, F.lit(False)).alias("open"), x.alias("text"))
 
-    df = _mask_given(df.withColumn(given, F.transform(column, start)), given, plain, parts, settings, html=True)
+    df = _mask_given(df.withColumns({given: F.transform(column, start), f"{at}skipped": _no_ids()}), at, settings, html=True)
     mine = lambda x: F.filter(F.col(parts), lambda y: y["of"] == x["of"])
     whole = lambda x: F.when(F.size(mine(x)) > 0, F.array_join(F.transform(mine(x), lambda y: y["text"]), "")).otherwise(x["text"])
-    return df.withColumn(column, F.transform(plain, whole)).drop(given, plain, parts)
+    return _finish(df.withColumn(column, F.transform(plain, whole)), columns, None, at)
 
 
 def _of(parts: str, i: int) -> Column:

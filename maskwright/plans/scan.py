@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..frames import free_prefix
 from ..functions.maskers import excerpt
 from ..functions.text import has_consent
 from ..functions.validators import any_of
 from ..operators.masking import Hooks, confidence, detections, mask_text
-from ..rules import Rule
+from ..rules import Rule, registry
 
 PAGE_LIMIT = 100
 TEXT_LIMIT = 10_000
+#: Partition values that are sent to all tasks at most.
+PARTITIONS = 100_000
 POST_STATUSES = ("publish", "pending", "draft", "future", "private")
 
 
@@ -33,21 +36,24 @@ def examine(df: DataFrame, fields: list[str], settings: Settings | None = None,
     """
     settings = settings or Settings()
     texts = {f: F.coalesce(F.col(f), F.lit("")) for f in fields}
+    at = free_prefix(df)
+    seen = f"{at}found"
     found = F.array(*[types_of(detections(t, settings, rules)) for t in texts.values()])
     # A row of its own for what was found keeps Spark from finding it again in each filter.
-    df = df.select("*", F.explode(F.array(found)).alias("__found"))
-    # Without hooks, only a text in which something was found can change.
-    can_change = lambda i: F.lit(True) if hooks or settings.customs or rules is not None else F.size(F.get("__found", F.lit(i))) > 0
+    df = df.select("*", F.explode(F.array(found)).alias(seen))
+    # Without hooks, only a text in which something was found can change; URLs count where a rule masks them.
+    always = hooks or settings.customs or rules is not None or any(r.type == "url" for r in registry())
+    can_change = lambda i: F.lit(True) if always else F.size(F.get(seen, F.lit(i))) > 0
     df = df.withColumns({f"{f}_masked": F.when(can_change(i), t) for i, (f, t) in enumerate(texts.items())})
     df = mask_text(df, [f"{f}_masked" for f in fields], settings, hooks, consent=True)
     df = df.withColumns({f"{f}_masked": F.coalesce(f"{f}_masked", t) for f, t in texts.items()})
     return df.withColumns(
         {
-            "detected_types": F.array_distinct(F.flatten("__found")),
+            "detected_types": F.array_distinct(F.flatten(seen)),
             "would_change": any_of([F.col(f"{f}_masked") != t for f, t in texts.items()]),
             "consent_bypassed": any_of([has_consent(t, settings.consent_phrases) for t in texts.values()]),
         }
-    ).drop("__found")
+    ).drop(seen)
 
 
 def status(item: Column | None = None, applied: Column | None = None, applying: bool = False) -> Column:
@@ -153,6 +159,60 @@ def apply(df: DataFrame, fields: list[str], path: str, settings: Settings | None
     return df.sparkSession.read.parquet(path)
 
 
+def changes(df: DataFrame, id_col: str, fields: list[str], settings: Settings | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The change table: id, a hash of the fields as they are, their masked forms, and ``keep``; only rows that change.
+
+    Rows that repeat an id are told apart by what their fields hold; equal rows change alike and are one row here.
+    """
+    seen = examine(df, fields, settings).filter("would_change")
+    return seen.select(F.col(id_col).alias("id"), F.xxhash64(*fields).alias("was"), *keep, *[F.col(f"{f}_masked").alias(f) for f in fields]).dropDuplicates(["id", "was", *keep])
+
+
+def apply_partitions(spark: SparkSession, path: str, id_col: str, fields: list[str], partition_col: str, work: str, settings: Settings | None = None) -> DataFrame:
+    """Mask a partitioned Parquet table in place and return the change table; partitions without changes keep their files.
+
+    The changes are written under ``work``, then the partitions that they touch, and only these replace the
+    table's: a failure on the way leaves either old or new partitions, and running it again finishes the rest, as masked
+    texts no longer change. Nulls stay null unless masking made a text of them.
+    """
+    table = spark.read.parquet(path)
+    found = changes(table, id_col, fields, settings, (partition_col,))
+    found.write.parquet(f"{work}/changes")
+    found = spark.read.parquet(f"{work}/changes")
+    at = free_prefix(table)
+    touched = found.select(F.col(partition_col).alias(f"{at}part")).distinct()
+    # As many rows as partitions: the readers skip the others' files.
+    rows = table.join(F.broadcast(touched) if touched.count() <= PARTITIONS else touched, F.col(partition_col).eqNullSafe(F.col(f"{at}part")), "left_semi")
+    side = found.select(F.col("id").alias(f"{at}id"), F.col("was").alias(f"{at}was"), F.col(partition_col).alias(f"{at}part"), F.struct(*fields).alias(f"{at}new"))
+    same = F.col(id_col).eqNullSafe(F.col(f"{at}id")) & (F.xxhash64(*fields) == F.col(f"{at}was")) & F.col(partition_col).eqNullSafe(F.col(f"{at}part"))
+    new = lambda f: F.when(F.col(f"{at}new").isNull() | (F.col(f).isNull() & (F.col(f"{at}new")[f] == "")), F.col(f)).otherwise(F.col(f"{at}new")[f])
+    rows.join(side, same, "left").withColumns({f: new(f) for f in fields}).select(table.columns).write.partitionBy(partition_col).parquet(f"{work}/partitions")
+    if not touched.isEmpty():
+        spark.read.schema(table.schema).parquet(f"{work}/partitions").select(table.columns).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(partition_col).parquet(path)
+    return found
+
+
+def page_by_key(df: DataFrame, target: str, id_col: str, fields: list[str], after: int | None = None, offset: int = 0, limit: int = 50, label: Column | None = None, settings: Settings | None = None) -> DataFrame:
+    """One page of a scan as one row: target, processed, next_offset, next_after, items.
+
+    The page is the ``limit`` rows with the smallest ids above ``after``, which readers find by their files'
+    statistics and no sort of the table; ``offset`` only counts on. ``items`` has id, masked label,
+    detected_types, would_change and consent_bypassed of those that the report would list; labels are excerpts with what they hold masked. Where the page
+    is full, ``next_after`` and ``next_offset`` begin the next one. Ids must be distinct; null ids come on no page.
+    """
+    if offset < 0 or not 1 <= limit <= PAGE_LIMIT:
+        raise ValueError(f"offset from 0, limit from 1 to {PAGE_LIMIT}")
+    left = df.filter(F.col(id_col).isNotNull() if after is None else F.col(id_col) > after)
+    rows = left.orderBy(id_col).limit(limit)
+    seen = examine(rows, fields, settings).withColumn("label", F.coalesce(F.col(fields[0]) if label is None else label, F.lit("")))
+    seen = mask_text(seen.withColumn("label", excerpt(F.col("label"))), "label", settings, html=False)  # an excerpt has no tags
+    item = F.struct(F.col(id_col).cast("long").alias("id"), "label", "detected_types", "would_change", "consent_bypassed")
+    listed = F.when((F.size("detected_types") > 0) | F.col("would_change"), item)
+    out = seen.agg(F.count(F.lit(1)).alias("processed"), F.max(F.col(id_col).cast("long")).alias("last"), F.array_sort(F.collect_list(listed)).alias("items"))
+    full = F.col("processed") == limit
+    return out.select(F.lit(target).alias("target"), "processed", F.when(full, F.col("processed") + offset).alias("next_offset"), F.when(full, F.col("last")).alias("next_after"), "items")
+
+
 def write_report(rows: DataFrame, path: str, form: str = "json") -> int | None:
     """A report as JSON or CSV files, or just its number of rows."""
     if form == "count":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='maskwright-')}/{name}-{uuid.uuid4().hex}"
+
+
 def _rules(*names: str) -> list[Rule]:
     return [_RULES[n] for n in names]
 
@@ -470,7 +479,7 @@ def markup_safe_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("mask_text_documents", f"SELECT doc_id, {_masked_sql('text')} AS text FROM documents")
 def mask_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask_plain(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return mask_text(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
 # Images and streams.
@@ -501,14 +510,13 @@ def image_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("stream_mask", "SELECT conv_id, turn, text || ' call ***-***-' || lpad(CAST(conv_id % 10000 AS VARCHAR), 4, '0') AS text FROM conversations")
 def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a stream of files, masked and written, then read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="maskwright-stream-")
-    run = f"{base}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    run = work_folder(spark, "stream")
     source = _table(spark, sf_dir, "conversations")
     rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet*")
     rows = rows.withColumn("text", F.concat("text", F.lit(" call (555) 123-"), F.lpad((F.col("conv_id") % 10_000).cast("string"), 4, "0")))
     masked = streams.mask_stream(rows, ingest.TableSpec("turns", ("text",)))
     streams.write_masked(masked.select("conv_id", "turn", "text"), f"{run}/out", f"{run}/state", once=True).awaitTermination()
     return spark.read.schema(source.select("conv_id", "turn", "text").schema).parquet(f"{run}/out")
+
+
+from . import more_queries  # noqa: E402, F401  adds its queries

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import Settings, load, migrate
+from ..frames import free_prefix
 from ..functions.maskers import anonymize_ip
 from ..operators.masking import mask_text, mask_texts
 
@@ -45,6 +46,48 @@ def register_table(spec: TableSpec) -> None:
     SPECS[spec.name] = spec
 
 
+@dataclass(frozen=True)
+class Integration:
+    """Tables that are masked together, if they are there and the setting ``integration_<name>`` is on.
+
+    ``available`` says of the tables at hand, by name, whether what they belong to is there; without it, every table of the
+    integration has to be there with one of its text columns at least.
+    """
+
+    name: str
+    tables: tuple[str, ...]
+    available: Callable[[dict[str, DataFrame]], bool] | None = None
+
+    def is_available(self, tables: dict[str, DataFrame]) -> bool:
+        if self.available:
+            return bool(self.available(tables))
+        return all(t in tables and t in SPECS and set(SPECS[t].columns) & set(tables[t].columns) for t in self.tables)
+
+
+INTEGRATIONS = (
+    Integration("wpforo", ("board_topics", "board_posts")),
+    Integration("buddypress", ("activity", "messages")),
+    Integration("bbpress", ("topics", "replies")),
+    Integration("comments", ("comments",)),
+    Integration("users", ("users",)),
+)
+
+
+def active_integrations(tables: dict[str, DataFrame], settings: dict, integrations: tuple[Integration, ...] = INTEGRATIONS) -> list[Integration]:
+    """Integrations that are on and whose tables are there; none while ``enable_masking`` is off."""
+    if not settings.get("enable_masking"):
+        return []
+    return [i for i in integrations if settings.get(f"integration_{i.name}") and i.is_available(tables)]
+
+
+def mask_tables(tables: dict[str, DataFrame], settings: dict, integrations: tuple[Integration, ...] = INTEGRATIONS) -> dict[str, DataFrame]:
+    """All tables; those of active integrations masked, the others as they are. ``settings`` is the stored flat map."""
+    on = {t for i in active_integrations(tables, migrate(settings), integrations) for t in i.tables}
+    chosen = load(settings)
+    mask = lambda name, df: mask_comments(df, chosen) if name == "comments" else mask_table(df, name, chosen)
+    return {name: mask(name, df) if name in on else df for name, df in tables.items()}
+
+
 def comment_group(kind: Column) -> Column:
     """The group that a comment's type belongs to; an empty type is a comment."""
     kind = F.coalesce(F.when(kind == "", None).otherwise(kind), F.lit("comment"))
@@ -54,10 +97,10 @@ def comment_group(kind: Column) -> Column:
 def mask_table(df: DataFrame, spec: TableSpec | str, settings: Settings | None = None, only: Column | None = None) -> DataFrame:
     """Mask a table's text columns, in rows where ``only`` holds; texts with a consent phrase stay."""
     spec = SPECS[spec] if isinstance(spec, str) else spec
-    columns = [c for c in spec.columns if c in df.columns]
-    out = mask_text(df.withColumns({f"__kept_{c}": F.col(c) for c in columns}), columns, settings, consent=True)
+    columns, at = [c for c in spec.columns if c in df.columns], free_prefix(df)
+    out = mask_text(df.withColumns({f"{at}kept_{c}": F.col(c) for c in columns}), columns, settings, consent=True)
     if only is not None:
-        out = out.withColumns({c: F.when(only, F.col(c)).otherwise(F.col(f"__kept_{c}")) for c in columns})
+        out = out.withColumns({c: F.when(only, F.col(c)).otherwise(F.col(f"{at}kept_{c}")) for c in columns})
     return out.select(df.columns)
 
 
@@ -70,13 +113,16 @@ def mask_comments(df: DataFrame, settings: Settings | None = None, anonymize: bo
 
 
 def mask_edits(edits: DataFrame, stored: DataFrame, key: str, spec: TableSpec | str, settings: Settings | None = None) -> DataFrame:
-    """Edited rows: only columns that differ from the stored row are masked. Rows that aren't stored are new in all columns."""
+    """Edited rows: only columns that differ from the stored row are masked. Rows that aren't stored are new in all columns.
+
+    Of stored rows that share a key the smallest by its columns counts, so that no edit becomes several rows.
+    """
     spec = SPECS[spec] if isinstance(spec, str) else spec
-    columns = [c for c in spec.columns if c in edits.columns]
-    old = stored.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__was_{c}") for c in columns])
-    both = edits.join(old, F.col(key) == F.col("__key"), "left")
-    both = mask_text(both.withColumns({f"__new_{c}": F.col(c) for c in columns}), columns, settings, consent=True)
-    kept = {c: F.when(F.col(f"__new_{c}").eqNullSafe(F.col(f"__was_{c}")), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in columns}
+    columns, at = [c for c in spec.columns if c in edits.columns], free_prefix(edits)
+    old = stored.groupBy(F.col(key).alias(f"{at}key")).agg(F.min(F.struct(*columns)).alias(f"{at}was"))
+    both = edits.join(old, F.col(key) == F.col(f"{at}key"), "left")
+    both = mask_text(both.withColumns({f"{at}new_{c}": F.col(c) for c in columns}), columns, settings, consent=True)
+    kept = {c: F.when(F.col(f"{at}was").isNotNull() & F.col(f"{at}new_{c}").eqNullSafe(F.col(f"{at}was")[c]), F.col(f"{at}new_{c}")).otherwise(F.col(c)) for c in columns}
     both = both.withColumns(kept)
     return both.select(edits.columns)
 
