@@ -68,6 +68,10 @@ def gave_up(text: Column, overruns: tuple[str, ...]) -> Column:
     return any_of([text.rlike(x) for x in overruns]) if overruns else F.lit(False)
 
 
+def _any_gave_up(pieces: Column, overruns: tuple[str, ...]) -> Column:
+    return F.exists(pieces, lambda x: x["open"] & gave_up(x["text"], overruns))
+
+
 def apply_rule(text: Column, rule: Rule, about: Column) -> Column:
     """The text with the rule's valid matches masked: split at the matches, mask each, join again."""
     value = lambda x: x["value"]
@@ -127,7 +131,7 @@ def _built(session: str, rules: tuple[Rule, ...], at: str, pieces: bool) -> list
     def skipped(rule: Rule) -> Column | None:
         if not rule.overruns:
             return None
-        up = F.exists(text, lambda x: x["open"] & gave_up(x["text"], rule.overruns)) if pieces else gave_up(text, rule.overruns)
+        up = _any_gave_up(text, rule.overruns) if pieces else gave_up(text, rule.overruns)
         return F.when(up, F.array(F.lit(rule.id))).otherwise(_no_ids())
 
     over = (lambda some: F.transform(text, _opened(lambda t: reduce(bound, some, t)))) if pieces else (lambda some: reduce(bound, some, text))
@@ -158,7 +162,7 @@ def _customs(df: DataFrame, settings: Settings, column: str, at: str, pieces: bo
         change = _replacing(custom)
         both = {column: F.transform(column, _opened(change)) if pieces else change(F.col(column))}
         if custom.overruns:
-            up = F.exists(column, lambda x, c=custom: x["open"] & gave_up(x["text"], c.overruns)) if pieces else gave_up(F.col(column), custom.overruns)
+            up = _any_gave_up(F.col(column), custom.overruns) if pieces else gave_up(F.col(column), custom.overruns)
             both[f"{at}skipped"] = F.concat(f"{at}skipped", F.when(up, F.array(F.lit(f"custom:{custom.label}"))).otherwise(_no_ids()))
         df = df.withColumns(both)
     return df

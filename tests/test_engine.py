@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import Observation
@@ -16,6 +17,8 @@ from maskwright.operators.masking import mask_plain, mask_text, mask_texts
 from maskwright.plans import audit, scan
 from maskwright.sources import ingest
 
+#: E-mail addresses, IP addresses and telephone numbers only: expressions of all rules take long to build.
+FEW = config.Settings({r.type: r.type in ("email", "ip", "phone") for r in rules.BUILT_IN})
 LONG = 1_000_000
 OPEN_TAG = "mail a@b.com, if x <y then " + "some words " * (LONG // 11)
 ANGLES = "<y " * (LONG // 3) + "a@b.com"
@@ -64,10 +67,10 @@ def test_columns_keep_their_names(markup_rows):
 def test_long_texts_in_every_masking_function(spark):
     df = spark.createDataFrame([(1, OPEN_TAG, "post", "publish", "text")], "id long, content string, type string, status string, basetype string")
     outs = [
-        ingest.mask_table(df, "activity").first().content,
-        ingest.mask_edits(df, df.withColumn("content", F.lit("old")), "id", "activity").first().content,
-        mask_texts(df.withColumn("values", F.array("content")), "values").first()["values"][0],
-        scan.examine(df, ["content"]).first().content_masked,
+        ingest.mask_table(df, "activity", FEW).first().content,
+        ingest.mask_edits(df, df.withColumn("content", F.lit("old")), "id", "activity", FEW).first().content,
+        mask_texts(df.withColumn("values", F.array("content")), "values", FEW).first()["values"][0],
+        scan.examine(df, ["content"], FEW).first().content_masked,
     ]
     assert all("a@b.com" not in x and x.endswith("some words ") for x in outs)
 
@@ -123,11 +126,11 @@ def test_bounds(spark):
 def test_a_rule_that_gives_up_leaves_the_text_to_the_others(spark):
     rule = rules.Rule("runaway", "member", r"#(?:[a-z]|[0-9])+;", "***")
     custom = config.CustomPattern("own", r"%(?:[a-z]|[0-9])+;")
-    long = "#" + "a1" * 100_000 + "; a@b.com %" + "b2" * 100_000 + ";"
+    long = "#" + "a1" * 3_000 + "; a@b.com %" + "b2" * 3_000 + ";"
     df = spark.createDataFrame([(1, long), (2, "#ab; a@b.com %cd;"), (3, None)], "id int, text string")
     rules.register_rule(rule)
     try:
-        settings = config.Settings(custom_patterns=(custom,))
+        settings = replace(FEW.with_masks(member=True), custom_patterns=(custom,))
         for masked in (mask_plain(df, "text", settings, skipped="gave_up"), mask_text(df, "text", settings, skipped="gave_up")):
             out = {r.id: r for r in masked.collect()}
             assert out[1].text == long.replace("a@b.com", "a***@b.com") and out[1].gave_up == ["runaway", "custom:own"]
@@ -147,12 +150,12 @@ def test_audit_and_observation(spark, tmp_path):
     got = {(r.id, r.field, r.type, r.n, r.action) for r in audit.audit(df, "id", ["t", "u"], config.Settings().with_masks(ip=False)).collect()}
     assert got == {(1, "t", "email", 2, "masked"), (2, "t", "email", 1, "consent_bypass"), (2, "u", "ip", 1, "off"), (1, "t", "phone", 1, "masked"), (1, "u", "url", 1, "url")}
     seen = Observation("masking")
-    out = audit.mask_observed(df, ["t", "u"], seen)
+    out = audit.mask_observed(df, ["t", "u"], seen, FEW)
     assert out.columns == df.columns and len(out.collect()) == 4
     metrics = seen.get
     assert (metrics["rows"], metrics["changed"], metrics["consent_bypassed"], metrics["found_email"], metrics["found_ip"], metrics["found_card"]) == (4, 3, 1, 3, 1, 0)
     df.write.parquet(f"{tmp_path}/in")
-    stream = audit.mask_observed(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ["t", "u"], "audit")
+    stream = audit.mask_observed(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ["t", "u"], "audit", FEW)
     query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     told = [p.observedMetrics["audit"] for p in query.recentProgress if "audit" in p.observedMetrics]
@@ -185,13 +188,13 @@ def test_apply_touches_only_partitions_that_change(spark, tmp_path):
     spark.createDataFrame(rows, "id int, text string, part string").repartition(1).write.partitionBy("part").parquet(f"{tmp_path}/t")
     files = lambda p: {(f, os.stat(f"{tmp_path}/t/{p}/{f}").st_mtime_ns) for f in os.listdir(f"{tmp_path}/t/{p}")}
     before = files("part=y")
-    found = scan.apply_partitions(spark, f"{tmp_path}/t", "id", ["text"], "part", f"{tmp_path}/work")
+    found = scan.apply_partitions(spark, f"{tmp_path}/t", "id", ["text"], "part", f"{tmp_path}/work", FEW)
     assert files("part=y") == before
     out = sorted(((r.id, r.text, r.part) for r in spark.read.parquet(f"{tmp_path}/t").collect()), key=str)
     masked = {"a@b.co": "a***@b.co", "c@d.org": "c***@d.org", "10.0.0.7": "10.***.***.7"}
     assert out == sorted(((i, masked.get(t, t), p) for i, t, p in rows), key=str)
     assert sorted(r.text for r in found.collect()) == ["10.***.***.7", "a***@b.co", "c***@d.org"]
-    assert scan.apply_partitions(spark, f"{tmp_path}/t", "id", ["text"], "part", f"{tmp_path}/again").count() == 0
+    assert scan.apply_partitions(spark, f"{tmp_path}/t", "id", ["text"], "part", f"{tmp_path}/again", FEW).count() == 0
 
 
 def test_pages_by_key_together_are_the_report(spark):
@@ -199,7 +202,7 @@ def test_pages_by_key_together_are_the_report(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     seen, after, offset, sizes = [], None, 0, []
     for _ in range(4):
-        page = scan.page_by_key(df, "posts", "id", ["text"], after, offset, limit=10).first()
+        page = scan.page_by_key(df, "posts", "id", ["text"], after, offset, limit=10, settings=FEW).first()
         seen += [(x.id, x.label) for x in page["items"]]
         sizes.append(page.processed)
         if page.next_after is None:
@@ -225,4 +228,4 @@ def test_integrations(spark):
 def test_edits_against_a_table_with_a_repeated_key(spark):
     edits = spark.createDataFrame([(1, "a@b.co")], "id int, content string")
     stored = spark.createDataFrame([(1, "x"), (1, "a@b.co")], "id int, content string")
-    assert [r.content for r in ingest.mask_edits(edits, stored, "id", "activity").collect()] == ["a@b.co"]
+    assert [r.content for r in ingest.mask_edits(edits, stored, "id", "activity", FEW).collect()] == ["a@b.co"]
