@@ -86,7 +86,8 @@ def media_features(media: DataFrame, media_col: str = "media", keep_fingerprint:
 
     A null or unreadable recording gives nulls. Equal bytes give equal values. The added columns are
     ``payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` and, if wanted,
-    ``fingerprint array<long>``; the recording itself goes, all other columns stay.
+    ``fingerprint array<long>``; the recording itself goes, all other columns stay, but for those that have the name
+    of an added one, in any case, which give way to it.
     """
     added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", fingerprint array<long>" * keep_fingerprint
 
@@ -104,14 +105,16 @@ def media_features(media: DataFrame, media_col: str = "media", keep_fingerprint:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(media_col)
+            stay = [batch.schema.get_field_index(c) for c in rest]
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
                 rows = [one(m.as_py()) for m in part.column(at)]
                 made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)]
-                yield pa.record_batch([part.column(j) for j in range(part.num_columns) if j != at] + made, names)
+                yield pa.record_batch([part.column(j) for j in stay] + made, names)
 
-    rest = [c for c in media.columns if c != media_col]
+    new = {x.split()[0] for x in added.split(", ")}
+    rest = [c for c in media.columns if c != media_col and c.lower() not in new]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int64())] * keep_fingerprint
     names = rest + [x.split()[0] for x in added.split(", ")]
-    schema = ", ".join(f"`{c}` {k}" for c, k in media.dtypes if c != media_col) + ", " + added
+    schema = ", ".join(f"`{c}` {k}" for c, k in media.dtypes if c in rest) + ", " + added
     return media.mapInArrow(run, schema)

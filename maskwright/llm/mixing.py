@@ -98,5 +98,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     # The next document is taken too if that comes nearer to the wanted size.
     on_edge = joined.filter("bucket = edge").withColumn("extra", (so_far - F.col("size") / 2 <= F.col("want")).cast("int"))
     out = inside.unionByName(on_edge)
-    repeats = (F.floor("rate") + F.col("extra")).cast("long")
+    # A source at its cap is taken whole so many times and no more; its empty texts lie at any edge.
+    repeats = F.least(F.floor("rate") + F.col("extra"), F.lit(max_epochs)).cast("long")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words as W
 from .common import columns, hinted, new_table, release, slices
@@ -427,11 +428,11 @@ def expand_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, n_ids:
     return expand(seq[a : b + 1], rules, n_ids)[skip : skip + n]
 
 
-_SHARD = "part int, shard int, n_ids int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, wide boolean, sequence binary, rules binary, lengths binary"
+_SHARD = "part int, shard int, n_ids int, doc_ids array<{}>, doc_tokens array<long>, n_tokens long, wide boolean, sequence binary, rules binary, lengths binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write all ids in ascending order of the document id, each document ended by id 2.
+    """Write all ids in ascending order of the document id, of whatever type, each document ended by id 2.
 
     The files are Parquet. A row is a shard: its documents' ids and token counts, the compressed sequence
     (16 or 32 bits a symbol), the rules and their expansion lengths. A null text counts as empty, a null
@@ -471,11 +472,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
             yield flush()
         release()
 
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType
     schema = pa.schema(
-        [("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("wide", pa.bool_()), ("sequence", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary())]
+        [("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(to_arrow_type(kind))), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("wide", pa.bool_()), ("sequence", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary())]
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, _SHARD).write.option("compression", "none").parquet(path)
+    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, _SHARD.format(kind.simpleString())).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark, path: str, doc_col: str = "doc_id") -> DataFrame:
@@ -493,7 +495,7 @@ def read_token_files(spark, path: str, doc_col: str = "doc_id") -> DataFrame:
                     [
                         pa.array([s["part"]] * len(n), pa.int32()),
                         pa.array([s["shard"]] * len(n), pa.int32()),
-                        pa.array(s["doc_ids"], pa.int64()),
+                        pa.array(s["doc_ids"], to_arrow_type(kind)),
                         pa.array(end - n),
                         pa.array(n),
                         pa.array([crc(ids[b - k : b]) for b, k in zip(end.tolist(), n.tolist(), strict=True)], pa.int64()),
@@ -502,7 +504,8 @@ def read_token_files(spark, path: str, doc_col: str = "doc_id") -> DataFrame:
                 )
 
     files = spark.read.parquet(path)
-    docs = files.mapInArrow(run, "part int, shard int, id long, inside long, n_tokens long, ids_crc32 long")
+    kind = files.schema["doc_ids"].dataType.elementType
+    docs = files.mapInArrow(run, f"part int, shard int, id {kind.simpleString()}, inside long, n_tokens long, ids_crc32 long")
     sizes = files.select("part", "shard", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one number for each partition
     ends = np.cumsum([r["n"] for r in parts]).tolist()
