@@ -86,3 +86,15 @@ def test_run_equals_plain_stages(spark, table, odd_rows, tmp_path):
     for r in out:
         ends[r.sequence_id] += r.length
     assert max(ends.values()) <= 1024
+
+
+def test_packing_of_an_empty_table(spark, table):
+    assert corpus_pipeline.packed(spark, table([]), "").count() == 0
+
+
+def test_stages_keep_columns_of_working_names(spark, table):
+    docs = table([(1, "one two three", "en", "a"), (2, "one two three", "en", "a"), (2, "one two three", "en", "a"), (3, "vier fünf", "de", None)])
+    docs = docs.withColumnsRenamed({"key": "__mw_key", "id": "__mw_id", "block": "__mw_n", "name": "__mw_side"})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {(r["__mw_key"], r["__mw_side"]) for r in out.collect()} == {("y", "z")}
