@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -50,38 +51,29 @@ def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
     return [("=", i, i) for i in range(head)] + middle + ends
 
 
-def restored(original: str, normal: str, masked: str) -> str:
-    """The masked text with original characters where it equals the folded one: lines first, then characters.
+def _taken(old: list[str], new: list[str], out: list[str], between: Callable[..., str]) -> str:
+    """``out`` with its stretches that equal ``new`` taken from ``old``; ``between`` makes those that differ.
 
-    Where the original has other lines or lengths than the folded text, the masked text stays.
+    Items of ``old`` and ``new`` belong together by their places; where their numbers differ, ``out`` stays.
     """
-    lines = [re.findall(r"[^\n]*\n|[^\n]+", x) for x in (original, normal, masked)]
-    old, new, out = lines
     if len(old) != len(new):
-        return masked
-    parts, gone, put = [], [], []
-
-    def close() -> None:
-        o, n, m = "".join(old[i] for i in gone), "".join(new[i] for i in gone), "".join(out[j] for j in put)
-        if len(o) != len(n):
-            parts.append(m)
-        else:
-            parts.extend(o[i] if op == "=" else m[j] for op, i, j in edit_script(n, m) if op != "-")
-        gone.clear()
-        put.clear()
-
-    for op, i, j in edit_script(new, out):
-        if op == "=":
-            close()
-            parts.append(old[i])
-        elif op == "-":
-            gone.append(i)
-        else:
-            put.append(j)
-    close()
+        return "".join(out)
+    parts = []
+    for same, run in groupby(edit_script(new, out), key=lambda step: step[0] == "="):
+        steps = list(run)
+        gone, put = [i for op, i, _ in steps if op != "+"], [j for op, _, j in steps if op != "-"]
+        kept = [old[i] for i in gone]
+        parts.append("".join(kept) if same else between(kept, [new[i] for i in gone], [out[j] for j in put]))
     return "".join(parts)
 
 
+def restored(original: str, normal: str, masked: str) -> str:
+    """The masked text with original characters where it equals the folded one: whole lines, and characters of lines that differ."""
+    lines = lambda text: re.findall(r"[^\n]*\n|[^\n]+", text)
+    of_lines = lambda *stretches: _taken(*(list("".join(x)) for x in stretches), lambda old, new, out: "".join(out))
+    return _taken(lines(original), lines(normal), lines(masked), of_lines)
+
+
 @F.pandas_udf(T.StringType())
 def restore_width(original: pd.Series, normal: pd.Series, masked: pd.Series) -> pd.Series:
     """Only for texts that folding and masking both changed; null for the others, which are passed as null."""
