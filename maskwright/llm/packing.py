@@ -17,6 +17,8 @@ LENGTH = 1024
 #: Pieces packed together, about; groups are dealt by hash, so that none grows with a key.
 GROUP = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
+#: Exchanges for one child, neighbours in a bin that leave it together, and loose items that enter in pairs.
+EXCHANGES, NEAR, PAIRED = 32, 8, 32
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,14 +77,56 @@ def _fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, f
     return -len(load), float(((load / capacity) ** 2).sum())
 
 
+def _exchange(bins: np.ndarray, load: np.ndarray, loose: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Let one or two loose items take the place of one or two in a bin that they fill better; returns who is loose then.
+
+    Bins that become full go first, then those that gain most. Each bin gives once; ``bins`` and ``load`` change in place.
+    """
+    held = np.flatnonzero(bins >= 0)
+    held = held[load[bins[held]] < capacity]
+    held = held[np.argsort(bins[held], kind="stable")]
+    first, second = [held], [np.full(len(held), -1)]
+    for lag in range(1, NEAR):
+        same = bins[held[:-lag]] == bins[held[lag:]]
+        first.append(held[:-lag][same])
+        second.append(held[lag:][same])
+    first, second = np.concatenate(first), np.concatenate(second)
+    where = bins[first]
+    gone = sizes[first] + np.where(second >= 0, sizes[second], 0)
+    upto = gone + capacity - load[where]
+    loose = loose[np.argsort(-sizes[loose], kind="stable")]
+    for _ in range(EXCHANGES):
+        if not len(first) or not len(loose):
+            break
+        i, j = np.triu_indices(min(len(loose), PAIRED), 1)
+        one, two = np.concatenate((loose, loose[i])), np.concatenate((np.full(len(loose), -1), loose[j]))
+        size = sizes[one] + np.where(two >= 0, sizes[two], 0)
+        order = np.argsort(size, kind="stable")
+        at = np.searchsorted(size[order], upto, side="right") - 1
+        got = np.where(at >= 0, size[order][at], 0)
+        gain = np.where(got > gone, got - gone + capacity * (got == upto), 0)
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            break
+        b, out = where[best], [x for x in (first[best], second[best]) if x >= 0]
+        into = [x for x in (one[order[at[best]]], two[order[at[best]]]) if x >= 0]
+        bins[out], bins[into] = -1, b
+        load[b] += got[best] - gone[best]
+        loose = np.concatenate((loose[~np.isin(loose, into)], np.array(out, np.int64)))
+        left = where != b
+        first, second, where, gone, upto = first[left], second[left], where[left], gone[left], upto[left]
+    return loose
+
+
 def _reinsert(bins: np.ndarray, loose: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Best-fit the loose items into the other items' bins; bins are numbered anew."""
+    """Exchange loose items for others that fill bins less well, then best-fit those that are loose; bins are numbered anew."""
     fixed = np.ones(len(bins), bool)
     fixed[loose] = False
     _, dense = np.unique(bins[fixed], return_inverse=True)
-    out = np.empty_like(bins)
+    out = np.full_like(bins, -1)
     out[fixed] = dense
     load = _loads(dense, sizes[fixed]) if fixed.any() else np.zeros(0, np.int64)
+    loose = _exchange(out, load, loose, sizes, capacity) if fixed.any() else loose
     room = {b: int(capacity - x) for b, x in enumerate(load.tolist()) if x < capacity}
     best_fit(sizes.tolist(), loose.tolist(), room, out, capacity, len(load))
     return out
