@@ -21,8 +21,8 @@ _HAS = {
 }
 METHOD = "markov"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-#: Strings of this alphabet from this length on are scored.
-LEAST = 20
+#: Strings of this alphabet are scored from the length on that an assigned value needs.
+LEAST = 8
 _CANDIDATE = r"[A-Za-z0-9+/_=-]+"
 #: Log-likelihood ratio from which a string is a secret, in all and for each character.
 THRESHOLD, PER_CHAR = 8.0, 0.2
@@ -64,6 +64,44 @@ def _spans(pieces: Column, rank: int) -> Column:
     return F.when(F.size(pieces) > 0, found).otherwise(F.array().cast(span))
 
 
+def _outside(found: Column, base: Column) -> Column:
+    """Parts of the spans ``found`` that no base span covers, from ``LEAST`` characters on, in one sweep over both by start."""
+    span = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
+    events = F.array_sort(F.concat(base, found))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(events) - 1) / CHUNK).cast("int")), lambda c: F.slice(events, c * CHUNK + 1, F.lit(CHUNK)))
+    rank = len(BASE)
+
+    def state(x: Column, at: Column, reach: Column, out: Column, cur: Column) -> Column:
+        return F.struct(x.alias("x"), at.alias("at"), reach.alias("reach"), out.alias("out"), cur.alias("cur"))
+
+    def part(s: Column, upto: Column) -> Column:
+        """What of the span that is open lies from ``at`` to ``upto``."""
+        end = F.least(upto, s["x"]["end"])
+        value = F.substring(s["x"]["value"], (s["at"] - s["x"]["start"] + 1).cast("int"), (end - s["at"]).cast("int"))
+        made = F.array(F.struct(s["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), value.alias("value")))
+        return F.when(end - s["at"] >= LEAST, made).otherwise(F.array()).cast(span)
+
+    def one(s: Column, x: Column) -> Column:
+        opens = x["rank"] == rank
+        cur = F.concat(s["cur"], part(s, F.when(opens, s["x"]["end"]).otherwise(x["start"])))
+        at = F.when(opens, F.greatest(x["start"], s["reach"])).otherwise(F.greatest(s["at"], x["end"]))
+        return state(F.when(opens, x).otherwise(s["x"]), at, F.when(opens, s["reach"]).otherwise(F.greatest(s["reach"], x["end"])), s["out"], cur)
+
+    def chunk(s: Column, xs: Column) -> Column:
+        return F.aggregate(xs, state(s["x"], s["at"], s["reach"], s["out"], F.array().cast(span)), one, lambda r: state(r["x"], r["at"], r["reach"], F.concat(r["out"], F.array(r["cur"])), F.array().cast(span)))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(0).cast("bigint").alias("end"), F.lit("").alias("value"))
+    zero = state(none, F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.array().cast(f"array<{span}>"), F.array().cast(span))
+    parts = F.aggregate(chunks, zero, chunk, lambda r: F.concat(r["out"], F.array(part(r, r["x"]["end"]))))
+    return F.when((F.size(found) > 0) & (F.size(base) > 0), F.flatten(parts)).otherwise(found)
+
+
+def _windows(word: Column) -> Column:
+    """A word in parts of ``CHUNK`` characters, each with the next one's first: every pair lies in one part."""
+    parts = F.regexp_extract_all(word, F.lit(".{1,%d}" % CHUNK), F.lit(0))
+    return F.transform(parts, lambda p, i: F.concat(p, F.substring(F.coalesce(F.get(parts, i + 1), F.lit("")), 1, 1)))
+
+
 def _codes(value: Column) -> Column:
     """Places of the characters in the alphabet."""
     return F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
@@ -84,12 +122,13 @@ def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> li
         F.struct(F.lit(True).alias("random"), F.concat(assigned, F.regexp_extract_all(text, F.lit(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}"), F.lit(0))).alias("found")),
         F.struct(F.lit(False).alias("random"), F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_-]{8,}"), F.lit(0)).alias("found")),
     )
-    words = sample.select(F.explode(kinds).alias("k")).select("k.random", F.explode("k.found").alias("word")).filter((F.length("word") >= 8) & (F.length("word") <= 256))
+    words = sample.select(F.explode(kinds).alias("k")).select("k.random", F.explode("k.found").alias("word")).filter(F.length("word") >= 8)
     random = words.filter("random").groupBy("word").agg(F.lit(1).alias("n"))
     plain = words.filter("NOT random").groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(random.drop("n"), "word", "left_anti")
     labelled = random.withColumn("random", F.lit(True)).unionByName(plain.withColumn("random", F.lit(False)))
     pair = F.zip_with(F.expr("slice(codes, 1, size(codes) - 1)"), F.expr("slice(codes, 2, size(codes) - 1)"), lambda a, b: F.when((a >= 0) & (b >= 0), a * len(ALPHABET) + b))
-    counts = labelled.withColumn("codes", _codes(F.col("word"))).select("random", "n", F.explode(pair).alias("pair")).groupBy("random", "pair").agg(F.sum("n").alias("n")).filter("pair IS NOT NULL").collect()
+    parts = labelled.select("random", "n", F.explode(_windows(F.col("word"))).alias("word"))
+    counts = parts.withColumn("codes", _codes(F.col("word"))).select("random", "n", F.explode(pair).alias("pair")).groupBy("random", "pair").agg(F.sum("n").alias("n")).filter("pair IS NOT NULL").collect()
     k = len(ALPHABET)
     table = {side: [0.5] * (k * k) for side in (True, False)}
     for r in counts:
@@ -118,8 +157,8 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     """Secrets in whole texts: spans of the base patterns, and of strings that the Markov models call random.
 
     Base matches are leftmost and do not overlap within a kind; those whose group is too short are dropped
-    after matching. A scored string (``markov``) overlaps no base span. Positions are code points, ends
-    exclusive. Returns for each row ``<id_col>, n_assign, n_access, n_hex, base_sha256, spans, found``, the
+    after matching. A scored string (``markov``) is a run of the alphabet, or what base spans leave of one, each
+    part scored by itself. Positions are code points, ends exclusive. Returns for each row ``<id_col>, n_assign, n_access, n_hex, base_sha256, spans, found``, the
     last as an array of (kind, start, end) by start, then kind. A null or empty text has no spans. Other
     columns are not read.
     """
@@ -132,7 +171,7 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     base = F.concat(*BASE)
     df = df.withColumn("base", F.array_sort(base))
     ratio = F.transform(METHOD, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "value")], _ratio(x["value"], table).alias("ratio")))
-    df = df.withColumn(METHOD, F.when(F.size(METHOD) > 0, F.filter(METHOD, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))).otherwise(F.col(METHOD)))
+    df = df.withColumn(METHOD, _outside(F.col(METHOD), F.col("base")))
     df = df.withColumn("scored", F.when(F.size(METHOD) > 0, ratio))
     kept = F.filter("scored", lambda x: (x["ratio"] >= THRESHOLD) & (x["ratio"] >= PER_CHAR * F.length(x["value"])))
     kept = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["value"].alias("value")))

@@ -74,6 +74,26 @@ def secrets(text: str | None) -> tuple:
     return (*counts, hashlib.sha256(joined.encode()).hexdigest(), joined)
 
 
+def random_strings(text: str, table: list[float], alphabet: str, least: int, in_all: float, per_char: float) -> list[str]:
+    """``start:end`` of what base spans leave of the alphabet's runs and the table calls random."""
+    covered = set()
+    for span in filter(None, secrets(text)[-1].split(",")):
+        _, a, b = span.split(":")
+        covered |= set(range(int(a), int(b)))
+    out, start = [], None
+    for i in range(len(text) + 1):
+        inside = i < len(text) and text[i] in alphabet and i not in covered
+        if inside and start is None:
+            start = i
+        if not inside and start is not None:
+            codes = [alphabet.index(c) for c in text[start:i]]
+            ratio = sum(table[a * len(alphabet) + b] for a, b in zip(codes, codes[1:], strict=False))
+            if i - start >= max(least, 1) and ratio >= max(in_all, per_char * (i - start)):
+                out.append(f"{start}:{i}")
+            start = None
+    return out
+
+
 def licenses(text: str | None, phrases: dict[str, str]) -> tuple:
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
     places, labels = [], set()
