@@ -12,11 +12,12 @@ from . import queries as Q
 from .config import CustomPattern, Settings
 from .functions import maskers as M
 from .functions.sql import register_mask_text
-from .operators import fields
+from .operators import fields, images
 from .operators.masking import mask_plain, mask_text
 from .plans import audit, scan
 from .queries import _masked_sql, _query, _table
 from .sources import ingest
+from .streaming import masked as streams
 
 _K = "CAST(c_custkey AS VARCHAR)"
 
@@ -234,3 +235,23 @@ def scan_targets(spark: SparkSession, sf_dir: str):
     posts = _table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("post").alias("type"), status.alias("status"))
     reports = [scan.report(comments, "comments", "id", ["author"]), scan.report(scan.scannable_posts(posts, "post").select("doc_id", "text"), "post", "doc_id", ["text"])]
     return scan.report_all(reports).select("target", "id", F.array_join(F.array_sort("detected_types"), ",").alias("types"), "status")
+
+
+@_query(
+    "image_uploads",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'scrubbed' ELSE 'clean' END AS status, CASE WHEN c_custkey % 3 > 0 THEN 'jpeg' ELSE '' END AS format,
+    c_custkey % 3 > 0 AS location, c_custkey % 3 = 0 AS name_left, CASE WHEN c_custkey % 3 > 0 THEN 'scrubbed' ELSE 'clean' END AS carried FROM customer""",
+)
+def image_uploads(spark: SparkSession, sf_dir: str):
+    """Images as a stream, of which some are let through as they are; a second look at what is stored keeps the first one's status."""
+    run = Q.work_folder(spark, "uploads")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", Q._packet(F.col("c_name")).alias("content"))
+    rows.write.parquet(f"{run}/in")
+    stream = streams.read_stream(spark, f"{run}/in", rows.schema)
+    streams.scrub_stream(stream, f"{run}/out", f"{run}/state", allow=F.col("c_custkey") % 3 > 0).awaitTermination()
+    stored = spark.read.parquet(f"{run}/out")
+    again = images.scrub(stored.filter("c_custkey % 3 > 0").drop("result")).select("c_custkey", "result.status")
+    again = again.unionByName(stored.filter("c_custkey % 3 = 0").select("c_custkey", "result.status"))
+    carried = images.carried_status(again, streams.upload_statuses(spark, f"{run}/out", "c_custkey"), "c_custkey").select("c_custkey", F.col("status").alias("carried"))
+    left = F.contains(F.decode("content", "ISO-8859-1"), F.col("c_name"))
+    return stored.select("c_custkey", "result.status", "result.format", "result.location", left.alias("name_left")).join(carried, "c_custkey")

@@ -326,10 +326,11 @@ def detect_format(data: Column) -> Column:
     )
 
 
-def scrub(df: DataFrame, content: str = "content", settings: Settings | None = None, dry_run: bool = False) -> DataFrame:
+def scrub(df: DataFrame, content: str = "content", settings: Settings | None = None, dry_run: bool = False, allow: Column | None = None) -> DataFrame:
     """Adds ``result`` (status, format, location, identity, error) and puts scrubbed bytes in the place of the content.
 
-    Files that ``sources.ingest.image_files`` left unread for their size (``too_large``) have failed.
+    Rows for which ``allow`` is false or null are left alone and count as clean, without a format; their bytes go to no Python
+    worker. Files that ``sources.ingest.image_files`` left unread for their size (``too_large``) have failed.
     """
     settings = settings or Settings()
     location, identity = settings.strip_location, settings.strip_identity
@@ -340,12 +341,15 @@ def scrub(df: DataFrame, content: str = "content", settings: Settings | None = N
         rows = [scrub_bytes(None if d is None else bytes(d), location, identity, dry_run) for d in data]
         return pd.DataFrame([r | {"bytes": b} for r, b in rows], columns=[f.name for f in kind])
 
-    out = df.withColumn("__scrubbed", run(F.col(content)))
+    allowed = F.lit(True) if allow is None else F.coalesce(allow, F.lit(False))
+    out = df.withColumn("__allowed", allowed).withColumn("__scrubbed", run(F.when(F.col("__allowed"), F.col(content))))
     fields = {n: F.col(f"__scrubbed.{n}") for n in ("status", "format", "location", "identity", "error")}
     if "too_large" in df.columns:
         fields["error"] = F.when(F.col("too_large") & F.col(content).isNull(), "File is larger than the scrub size limit.").otherwise(fields["error"])
-    result = F.struct(*[c.alias(n) for n, c in fields.items()])
-    return out.withColumns({"result": result, content: F.col("__scrubbed.bytes")}).drop("__scrubbed")
+    alone = {"status": F.lit("clean"), "location": F.lit(False), "identity": F.lit(False)}
+    result = F.struct(*[F.when(F.col("__allowed"), c).otherwise(alone.get(n, F.lit(""))).alias(n) for n, c in fields.items()])
+    bytes_ = F.when(F.col("__allowed"), F.col("__scrubbed.bytes")).otherwise(F.col(content))
+    return out.withColumns({"result": result, content: bytes_}).drop("__scrubbed", "__allowed")
 
 
 def files_of(attachments: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Settings
+from ..operators import images
 from ..plans.scan import report
 from ..sources.ingest import TableSpec, mask_table
 
@@ -31,3 +33,32 @@ def report_stream(rows: DataFrame, target: str, id_col: str, fields: list[str],
         report(batch, target, id_col, fields, settings=settings).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: What Spark gives for each file.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def image_stream(spark: SparkSession, path: str, limit: int = 100 << 20) -> DataFrame:
+    """Files that arrive under a path; the content of those above ``limit`` bytes is null and ``too_large`` is true."""
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(path)
+    large = F.col("length") > limit
+    return files.withColumns({"too_large": large, "content": F.when(~large, F.col("content"))})
+
+
+def scrub_stream(rows: DataFrame, path: str, checkpoint: str, content: str = "content", settings: Settings | None = None, allow: Column | None = None) -> StreamingQuery:
+    """Scrub the images of a stream as they come in, and append them with their ``result`` to a table.
+
+    Rows are independent, so there is no state. A batch that is run again after a failure writes its own folder again. Null
+    contents have failed; what ``allow`` refuses comes through as it is.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        images.scrub(batch, content, settings, allow=allow).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upload_statuses(spark: SparkSession, path: str, key: str = "path") -> DataFrame:
+    """``<key>, status``: the worst that a key's images got when they came in; for ``images.carried_status``."""
+    return images.status_of(spark.read.parquet(path), key)

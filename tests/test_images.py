@@ -123,3 +123,34 @@ def test_files_above_the_limit_have_failed(spark, tmp_path):
     assert got["small.img"][:3] == ("scrubbed", "", False)
     assert [r.status for r in images.status_of(out).collect()] == ["failed"]
     assert "unreadable" in images.inspect(out).first().detected_types
+
+
+def test_images_of_a_stream(spark, tmp_path):
+    from maskwright.streaming import masked as streams
+
+    (tmp_path / "in").mkdir()
+    for name, data in FILES.items():
+        (tmp_path / "in" / f"{name}.img").write_bytes(data)
+    (tmp_path / "in" / "large.img").write_bytes(FILES["jpeg"] + bytes(50_000))
+    (tmp_path / "in" / "kept.img").write_bytes(FILES["jpeg"])
+
+    def run():
+        rows = streams.image_stream(spark, str(tmp_path / "in"), limit=50_000)
+        allow = ~F.col("path").contains("kept")
+        streams.scrub_stream(rows, str(tmp_path / "out"), str(tmp_path / "state"), allow=allow).awaitTermination()
+        return {r.path.rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    got = run()
+    assert len(got) == len(FILES) + 2
+    assert all(got[f"{n}.img"].result.status == "scrubbed" for n in FILES)
+    assert got["large.img"].result.status == "failed" and got["large.img"].content is None
+    assert got["large.img"].result.error == "File is larger than the scrub size limit."
+    assert tuple(got["kept.img"].result) == ("clean", "", False, False, "") and bytes(got["kept.img"].content) == FILES["jpeg"]
+    (tmp_path / "in" / "new.img").write_bytes(FILES["png"])
+    got = run()  # only the new file
+    assert len(got) == len(FILES) + 3 and got["new.img"].result.status == "scrubbed" and got["new.img"].batch == 1
+    statuses = {r.path.rsplit("/", 1)[1]: r.status for r in streams.upload_statuses(spark, str(tmp_path / "out")).collect()}
+    assert statuses == {n: r.result.status for n, r in got.items()}
+    now = images.scrub(spark.read.parquet(str(tmp_path / "out")).filter("path LIKE '%new.img'").drop("result")).select("path", "result.status")
+    assert [r.status for r in now.collect()] == ["clean"]
+    assert [r.status for r in images.carried_status(now, streams.upload_statuses(spark, str(tmp_path / "out"))).collect()] == ["scrubbed"]
