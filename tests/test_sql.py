@@ -1,0 +1,32 @@
+"""What SQL says that the rules make of a text, against the rules, on texts that the small tables lack."""
+
+from __future__ import annotations
+
+import duckdb
+from pyspark.sql import functions as F
+
+from maskwright import queries
+from maskwright.operators.masking import detections, mask_plain
+
+RULES = queries._rules("env_password", "env_secret", "email", "card", "phone_jp_mobile", "phone_jp_paren", "phone_jp_special", "phone_jp_landline", "phone_us_paren", "ipv4")
+TEXTS = [
+    'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! and TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"',
+    "api_key: abcdef; apikey: abcdef db_pass=hunter2 pass_db => 'hunter2' pass=hunter2 Api_Key=abcdef xTOKEN=abcd TOKENS\t=>\tabcd",
+    "SECRET=null SECRET=nullable SECRET=abc SECRET=$HOME1 SECRET=getenv(1) DB_PASSWORD=xxxx DB_PASSWORD=[REDACTED] SALT=a　bcd SALT=abcd　e",
+    "TOKEN=abcd TOKEN=abcdefgh MY_TOKEN=abcd TOKEN=a@b.com PASSWORD_TOKEN=12345",
+    "aorrj 0846248622 a0846248622 03-1234-5678 090 1234 5678 0120-444-113 0120-44-4113 0120444-1133",
+    "(073) 555-8658 (555) 123-4567 03(1234)5678 (03) 1234-5678 and u@v.org 4111 1111 1111 1111 10.1.2.3 https://h.org/x",
+]
+
+
+def test_sql_states_the_rules(spark):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    kinds = F.filter(detections(F.col("text"), rules=RULES), lambda d: d["type"].isNotNull())
+    masked = {r.id: r.text for r in mask_plain(rows, "text", rules=RULES).collect()}
+    found = {r.id: [tuple(d) for d in r.found] for r in rows.select("id", kinds.alias("found")).collect()}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (id INT, text VARCHAR)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(TEXTS)))
+    for i, text, items in db.execute(f"SELECT id, {queries._masked_sql('text')}, {queries._detections_sql('text')} FROM t").fetchall():
+        assert text == masked[i]
+        assert [(d["type"], d["value"], d["provider"]) for d in items] == found[i]
