@@ -11,3 +11,12 @@ def free_prefix(df: DataFrame) -> str:
     while any(c.startswith(prefix) for c in taken):
         prefix = "_" + prefix
     return prefix
+
+
+#: Tasks for each core of the cluster, and in all at least, that spread rows go to.
+TASKS_A_CORE, LEAST_TASKS = 4, 32
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key to a few tasks a core. One task reads a whole row group of a file, and a narrow table of a million rows may be no more."""
+    return df.repartition(max(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS), key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import patterns as P
 from ..patterns import java
 from . import validators as V
+from .text import split_at
 
 
 def _first(value: Column, n: int) -> Column:
@@ -125,7 +126,7 @@ def mask_id_doc(value: Column) -> Column:
 
 def mask_person_name(value: Column) -> Column:
     """Blanks and honorifics stay; of every other part the first character, of a single one nothing."""
-    parts = F.split(value, "(?<= )(?=[^ ])|(?<=[^ ])(?= )")
+    parts = split_at(value, "(?<= )(?=[^ ])|(?<=[^ ])(?= )")
     kept = lambda p: (F.trim(p) == "") | p.isin(*P.HONORIFICS)
     return F.array_join(F.transform(parts, lambda p: F.when(kept(p), p).when(F.length(p) == 1, "*").otherwise(_keep_first(p))), "")
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import split_at
+
 _WS = r" \t\f\r\n"
 _NAME = rf"[A-Za-z][^/>{_WS}]*+"
 #: An attribute's name and value; only a quote right after the equals sign opens a quoted value.
@@ -73,7 +75,7 @@ def decoded(value: Column) -> Column:
         return F.when(ref.startswith("&#"), F.when(good, char).otherwise("�")).otherwise(F.element_at(table, name))
 
     refs = F.transform(_all(value, _REFERENCE, 0), one)
-    joined = F.array_join(F.zip_with(F.split(value, _REFERENCE, -1), refs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(split_at(value, _REFERENCE), refs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return F.when(value.contains("&"), joined).otherwise(value)
 
 
@@ -118,7 +120,7 @@ def segments(html: Column) -> Column:
         return F.when(tag == "", F.array(piece("stray", part, part))).when(tag.startswith("</"), F.array(piece("fixed", part))).otherwise(opener)
 
     parts = _all(html, _CUT, 0)
-    both = F.zip_with(F.split(html, _CUT, -1), parts, lambda a, b: F.concat(F.array(piece("text", a, a)), F.when(b.isNull() | (b == ""), F.array(piece("fixed", F.lit("")))).when(b.startswith("<!"), F.array(piece("fixed", b))).otherwise(of_tag(b))))
+    both = F.zip_with(split_at(html, _CUT), parts, lambda a, b: F.concat(F.array(piece("text", a, a)), F.when(b.isNull() | (b == ""), F.array(piece("fixed", F.lit("")))).when(b.startswith("<!"), F.array(piece("fixed", b))).otherwise(of_tag(b))))
     return F.filter(F.flatten(both), lambda x: x["text"] != "")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CustomPattern, Settings
-from ..functions.text import has_consent, normalize
+from ..functions.text import has_consent, normalize, split_at
 from ..functions.validators import any_of, found
 from ..frames import free_prefix
 from ..patterns import URL, java
@@ -46,10 +46,15 @@ def _about(normal: Column) -> Column:
     return F.struct(F.lower(F.upper(normal)).alias("folded"), *[normal.rlike(x).alias(name) for name, x in SHAPES.items()])
 
 
-def _can_match(rule: Rule, text: Column, about: Column) -> Column:
-    """False for texts in which the rule cannot match; the pattern without its edges is tried before the pattern."""
+def _may_match(rule: Rule, about: Column) -> Column:
+    """False for texts that lack what every match of the rule has."""
     checks = [any_of([about["folded"].contains(h) for h in rule.hints])] if rule.hints else []
-    checks += [about[need] for need in rule.needs]
+    return reduce(lambda a, b: a & b, [*checks, *(about[need] for need in rule.needs)], F.lit(True))
+
+
+def _can_match(rule: Rule, text: Column, about: Column | None) -> Column:
+    """False for texts in which the rule cannot match; the pattern without its edges is tried before the pattern."""
+    checks = [] if about is None else [_may_match(rule, about)]
     checks += [text.rlike(x) for x in dict.fromkeys((rule.loose, rule.java))]
     return reduce(lambda a, b: a & b, checks)
 
@@ -72,8 +77,11 @@ def _any_gave_up(pieces: Column, overruns: tuple[str, ...]) -> Column:
     return F.exists(pieces, lambda x: x["open"] & gave_up(x["text"], overruns))
 
 
-def apply_rule(text: Column, rule: Rule, about: Column) -> Column:
-    """The text with the rule's valid matches masked: split at the matches, mask each, join again."""
+def apply_rule(text: Column, rule: Rule, about: Column | None) -> Column:
+    """The text with the rule's valid matches masked: split at the matches, mask each, join again.
+
+    Without ``about``, what that tells has been looked at.
+    """
     value = lambda x: x["value"]
     masked = (lambda x: F.lit(rule.mask)) if isinstance(rule.mask, str) else lambda x: rule.mask(value(x))
 
@@ -86,7 +94,7 @@ def apply_rule(text: Column, rule: Rule, about: Column) -> Column:
         return F.when(ok, put).otherwise(x["whole"])
 
     pieces = F.transform(_matches(text, rule), one)
-    joined = F.array_join(F.zip_with(F.split(text, rule.java, -1), pieces, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(split_at(text, rule.java), pieces, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     on = _can_match(rule, text, about)
     return F.when(on & ~gave_up(text, rule.overruns) if rule.overruns else on, joined).otherwise(text)
 
@@ -134,8 +142,12 @@ def _built(session: str, rules: tuple[Rule, ...], at: str, pieces: bool) -> list
         up = _any_gave_up(text, rule.overruns) if pieces else gave_up(text, rule.overruns)
         return F.when(up, F.array(F.lit(rule.id))).otherwise(_no_ids())
 
-    over = (lambda some: F.transform(text, _opened(lambda t: reduce(bound, some, t)))) if pieces else (lambda some: reduce(bound, some, text))
-    return [Step(over(some), skipped(some[0])) for some in parts]
+    def over_pieces(text: Column, rule: Rule) -> Column:
+        """Pieces are gone through only for rules that the row may match."""
+        each = _opened(lambda t: apply_rule(t, rule, None))
+        return F.get(F.transform(F.array(text), lambda x: F.when(_may_match(rule, about), F.transform(x, each)).otherwise(x)), F.lit(0))
+
+    return [Step(reduce(over_pieces if pieces else bound, some, text), skipped(some[0])) for some in parts]
 
 
 def _no_ids() -> Column:

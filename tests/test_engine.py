@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from maskwright import bounded, config, dialect, rules
+from maskwright import bounded, config, dialect, queries, rules
 from maskwright.frames import free_prefix
 from maskwright.functions.sql import register_mask_text
+from maskwright.functions.text import split_at
 from maskwright.operators import fields, markup
 from maskwright.operators.masking import mask_plain, mask_text, mask_texts
 from maskwright.plans import audit, scan
@@ -229,3 +230,19 @@ def test_edits_against_a_table_with_a_repeated_key(spark):
     edits = spark.createDataFrame([(1, "a@b.co")], "id int, content string")
     stored = spark.createDataFrame([(1, "x"), (1, "a@b.co")], "id int, content string")
     assert [r.content for r in ingest.mask_edits(edits, stored, "id", "activity", FEW).collect()] == ["a@b.co"]
+
+
+def test_splits_at_patterns(spark):
+    texts = ["", "a1b22c", "12", "1a", "a1", "none", "\uffff1a\uffff2", "é1漢", "a b  c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in ("[0-9]+", "(?<= )(?=[^ ])|(?<=[^ ])(?= )"):
+        for r in rows.select("t", F.split("t", pattern, -1).alias("slow"), split_at(F.col("t"), pattern).alias("fast")).collect():
+            assert r.slow == r.fast
+
+
+def test_rows_of_one_row_group_go_to_many_tasks(spark, tmp_path):
+    keys = spark.range(5000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Customer#"), F.col("id")).alias("c_name"))
+    keys.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    tasks = queries.QUERIES["rules_address"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) >= 16 and sum(r["count"] for r in tasks) == 15000
+    assert max(r["count"] for r in tasks) < 1500
