@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators.markup import rendered, segments, signature
-from ..operators.masking import SHAPES, _about, _opened, _replacing, _steps, enabled_rules
+from ..operators.masking import SHAPES, _about, _may, _opened, _replacing, _steps, enabled_rules
 from ..operators.restore import restore_width, restore_widths
 from .text import has_consent, normalize
 
 _AT = "mw_"
 _ABOUT = "STRUCT<" + ", ".join(["folded: STRING", *[f"{x}: BOOLEAN" for x in SHAPES]]) + ">"
+_MAY = "ARRAY<ARRAY<INT>>"
 _PIECES = "ARRAY<STRUCT<of: INT, open: BOOLEAN, text: STRING>>"
 _SEGMENTS = "ARRAY<STRUCT<kind: STRING, open: BOOLEAN, text: STRING, value: STRING, name: STRING>>"
 #: A string literal, or an operator in the place of a function's name.
@@ -51,16 +52,18 @@ def register_mask_text(spark: SparkSession, settings: Settings | None = None, na
 
     def chain(part: str, kind: str, pieces: bool) -> str:
         """One function that applies all steps."""
-        both = {f"{_AT}text": kind, f"{_AT}about": _ABOUT}
+        both = {f"{_AT}text": kind, f"{_AT}may": _MAY}
         call = f"{_AT}text"
         for i, step in enumerate(_steps(rules, _AT, pieces)):
-            call = f"{define(f'{part}{i}', both, kind, step.masked)}({call}, {_AT}about)"
+            call = f"{define(f'{part}{i}', both, kind, step.masked)}({call}, {_AT}may)"
         return define(f"all_{part}", both, kind, call)
 
     restore, restore_all = f"{name}__restore", f"{name}__restore_all"
     spark.udf.register(restore, restore_width)
     spark.udf.register(restore_all, restore_widths)
-    know = define("about", {f"{_AT}text": "STRING"}, _ABOUT, _about(text))
+    about = define("about", {f"{_AT}text": "STRING"}, _ABOUT, _about(text))
+    may = define("may", {f"{_AT}about": _ABOUT}, _MAY, _may(rules, F.col(f"{_AT}about")))
+    know = define("know", {f"{_AT}text": "STRING"}, _MAY, f"{may}({about}({_AT}text))")
 
     run = chain("rule", "STRING", pieces=False)
     wide = "masked <> normal AND normal <> given"

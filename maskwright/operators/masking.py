@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CustomPattern, Settings
 from ..functions.text import has_consent, normalize, split_at
 from ..functions.validators import any_of, found
-from ..frames import free_prefix
+from ..frames import free_prefix, small_functions
 from ..patterns import URL, java
 from ..rules import Rule, registry
 from .restore import restore_width, restore_widths
@@ -41,9 +41,10 @@ SHAPES = {
 }
 
 
-def _about(normal: Column) -> Column:
-    """What tells cheaply which rules a text can match; found once for all rules."""
-    return F.struct(F.lower(F.upper(normal)).alias("folded"), *[normal.rlike(x).alias(name) for name, x in SHAPES.items()])
+def _about(normal: Column, rules: Iterable[Rule] | None = None) -> Column:
+    """What tells cheaply which rules a text can match; found once for all rules. Of shapes, those that the rules need."""
+    asked = SHAPES if rules is None else {need for r in rules for need in r.needs}
+    return F.struct(F.lower(F.upper(normal)).alias("folded"), *[normal.rlike(x).alias(name) for name, x in SHAPES.items() if name in asked])
 
 
 def _may_match(rule: Rule, about: Column) -> Column:
@@ -52,6 +53,11 @@ def _may_match(rule: Rule, about: Column) -> Column:
     return reduce(lambda a, b: a & b, [*checks, *(about[need] for need in rule.needs)], F.lit(True))
 
 
+def _candidates(rules: list[Rule], about: Column) -> Column:
+    """Places in the list of the rules that a text may match; found without lambdas, so by compiled code."""
+    return F.array_remove(F.array(*[F.when(_may_match(r, about), i).otherwise(-1) for i, r in enumerate(rules)]), F.lit(-1))
+
+
 def _can_match(rule: Rule, text: Column, about: Column | None) -> Column:
     """False for texts in which the rule cannot match; the pattern without its edges is tried before the pattern."""
     checks = [] if about is None else [_may_match(rule, about)]
@@ -113,11 +119,26 @@ class Step:
     skipped: Column | None = None
 
 
+def _parts(rules: Iterable[Rule]) -> list[list[Rule]]:
+    """The rules by steps; one that may give up stands alone."""
+    parts: list[list[Rule]] = []
+    for rule in rules:
+        if not parts or len(parts[-1]) == STEP or rule.overruns or parts[-1][0].overruns:
+            parts.append([])
+        parts[-1].append(rule)
+    return parts
+
+
+def _may(rules: list[Rule], about: Column) -> Column:
+    """For each step, which of its rules a text may match."""
+    return F.array(*[_candidates(some, about) for some in _parts(rules)])
+
+
 def _steps(rules: list[Rule], at: str, pieces: bool = False) -> list[Step]:
-    """The rules as few columns over ``<at>text`` and ``<at>about``, so that plans stay short.
+    """The rules as few columns over ``<at>text`` and ``<at>may``, so that plans stay short.
 
-    Each rule's outcome is bound once by an array of one. Columns are built once for a session and list
-    of rules. With ``pieces``, the text is an array of (of, open, text) and the rules run over its open texts.
+    A step goes from one rule that the text may match to the next; the others cost it nothing. Columns are built once
+    for a session and list of rules. With ``pieces``, the text is an array of (of, open, text) and the rules run over its open texts.
     """
     session = SparkSession.active().sparkContext.applicationId
     return _built(session, tuple(rules), at, pieces)
@@ -125,16 +146,7 @@ def _steps(rules: list[Rule], at: str, pieces: bool = False) -> list[Step]:
 
 @lru_cache(16)
 def _built(session: str, rules: tuple[Rule, ...], at: str, pieces: bool) -> list[Step]:
-    about, text = F.col(f"{at}about"), F.col(f"{at}text")
-
-    def bound(text: Column, rule: Rule) -> Column:
-        return F.get(F.transform(F.array(text), lambda t: apply_rule(t, rule, about)), F.lit(0))
-
-    parts: list[list[Rule]] = []
-    for rule in rules:
-        if not parts or len(parts[-1]) == STEP or rule.overruns or parts[-1][0].overruns:
-            parts.append([])
-        parts[-1].append(rule)
+    text = F.col(f"{at}text")
 
     def skipped(rule: Rule) -> Column | None:
         if not rule.overruns:
@@ -142,12 +154,15 @@ def _built(session: str, rules: tuple[Rule, ...], at: str, pieces: bool) -> list
         up = _any_gave_up(text, rule.overruns) if pieces else gave_up(text, rule.overruns)
         return F.when(up, F.array(F.lit(rule.id))).otherwise(_no_ids())
 
-    def over_pieces(text: Column, rule: Rule) -> Column:
-        """Pieces are gone through only for rules that the row may match."""
-        each = _opened(lambda t: apply_rule(t, rule, None))
-        return F.get(F.transform(F.array(text), lambda x: F.when(_may_match(rule, about), F.transform(x, each)).otherwise(x)), F.lit(0))
+    def applied(x: Column, rule: Rule) -> Column:
+        one = lambda t: apply_rule(t, rule, None)
+        return F.transform(x, _opened(one)) if pieces else one(x)
+
+    def chosen(some: list[Rule]) -> Callable[[Column, Column], Column]:
+        """The outcome of the rule at a place among ``some``."""
+        return lambda x, i: reduce(lambda out, at: F.when(i == at[0], applied(x, at[1])).otherwise(out), reversed([*enumerate(some)]), x)
 
-    return [Step(reduce(over_pieces if pieces else bound, some, text), skipped(some[0])) for some in parts]
+    return [Step(F.aggregate(F.get(F.col(f"{at}may"), F.lit(n)), text, chosen(some)), skipped(some[0])) for n, some in enumerate(_parts(rules))]
 
 
 def _no_ids() -> Column:
@@ -160,6 +175,7 @@ def _opened(change: Callable[[Column], Column]) -> Callable[[Column], Column]:
 
 def _run(df: DataFrame, steps: list[Step], at: str) -> DataFrame:
     """Apply steps one after the other; ``<at>skipped`` gathers the rules that gave up."""
+    small_functions(df.sparkSession)
     for step in steps:
         both = {f"{at}text": step.masked}
         if step.skipped is not None:
@@ -201,9 +217,9 @@ def mask_plain(df: DataFrame, column: str, settings: Settings | None = None, rul
     """
     settings, at, given = settings or Settings(), free_prefix(df), df.columns
     chosen = enabled_rules(settings, rules)
-    old, text, about, normal, back = (f"{at}{x}" for x in ("old", "text", "about", "normal", "back"))
+    old, text, about, may, normal, back = (f"{at}{x}" for x in ("old", "text", "about", "may", "normal", "back"))
     df = df.withColumns({old: F.col(column), text: normalize(F.col(column)), f"{at}skipped": _no_ids()})
-    df = df.withColumns({about: _about(F.col(text)), normal: F.col(text)})
+    df = df.withColumns({about: _about(F.col(text), chosen), normal: F.col(text)}).withColumn(may, _may(chosen, F.col(about)))
     df = _run(df, _steps(chosen, at), at)
     changed = F.col(text) != F.col(normal)
     wide = changed & (F.col(normal) != F.col(old))
@@ -217,14 +233,15 @@ def mask_pieces(df: DataFrame, column: str, settings: Settings, at: str) -> Data
     text, normal, back = (f"{at}{x}" for x in ("text", "normal", "back"))
     old = [f"{at}{x}" for x in "abc"]
     df = df.withColumn(normal, F.transform(column, _opened(normalize))).withColumn(text, F.col(normal))
+    chosen = enabled_rules(settings)
     df = df.withColumn(f"{at}about", _about(F.array_join(F.transform(normal, lambda x: F.when(x["open"], x["text"])), " ")))
-    df = _run(df, _steps(enabled_rules(settings), at, pieces=True), at)
+    df = _run(df.withColumn(f"{at}may", _may(chosen, F.col(f"{at}about"))), _steps(chosen, at, pieces=True), at)
     wide = F.exists(F.zip_with(column, normal, lambda a, b: a["text"] != b["text"]), lambda x: x)
     texts = lambda c: F.when(wide, F.transform(c, lambda x: x["text"]))
     df = df.withColumns({c: texts(x) for c, x in zip(old, (column, normal, text), strict=True)}).withColumn(back, restore_widths(*old))
     out = F.when(F.col(back).isNotNull(), F.zip_with(text, back, lambda x, t: F.struct(x["of"].alias("of"), x["open"].alias("open"), t.alias("text")))).otherwise(F.col(text))
     df = _customs(df.withColumn(column, out), settings, column, at, pieces=True)
-    return df.drop(f"{at}about", normal, text, back, *old)
+    return df.drop(f"{at}about", f"{at}may", normal, text, back, *old)
 
 
 def detections(text: Column, settings: Settings | None = None, rules: Iterable[Rule] | None = None) -> Column:
