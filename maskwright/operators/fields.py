@@ -118,7 +118,7 @@ def type_of_field(name: Column, value: Column, hooks: FieldHooks | None = None)
     named, looks = type_of_name(name), type_of_value(seen)
     by_name = F.when(named.isNotNull(), hooks.by_name(named, name, seen)) if hooks.by_name else named
     by_value = F.when(looks.isNotNull(), hooks.by_value(looks, name, seen)) if hooks.by_value else looks
-    found = F.when(named.isNotNull(), by_name).otherwise(by_value)
+    found = F.when(named.isNotNull(), by_name).otherwise(by_value) if hooks.by_name else F.coalesce(named, by_value)
     if hooks.detect:
         found = F.coalesce(hooks.detect(name, seen), found)
     return F.when(value.isNull() | value.isin("", "0"), None).otherwise(found)
@@ -148,13 +148,18 @@ def mask_value(name: Column, value: Column, settings: Settings | None = None, ho
     if hooks.retype:
         kind = hooks.retype(name, given, kind)
     off = [k for k in (*FIELD_NAMES, *settings.masks) if not settings.masked(k)]
-    masked = mask_as(kind, given)
-    if hooks.mask_as:
-        masked = F.coalesce(hooks.mask_as(name, given, kind), masked)
-    if hooks.after:
-        masked = hooks.after(name, masked, kind)
-    stays = kind.isNull() | (kind.isin(*off) if off else F.lit(False)) | has_consent(given, settings.consent_phrases)
-    out = F.when(stays, given).otherwise(masked)
+
+    def of(kind: Column) -> Column:
+        masked = mask_as(kind, given)
+        if hooks.mask_as:
+            masked = F.coalesce(hooks.mask_as(name, given, kind), masked)
+        if hooks.after:
+            masked = hooks.after(name, masked, kind)
+        stays = kind.isNull() | (kind.isin(*off) if off else F.lit(False)) | has_consent(given, settings.consent_phrases)
+        return F.when(stays, given).otherwise(masked)
+
+    # The type, which costs the most, is found once: it is bound by an array of one.
+    out = F.get(F.transform(F.array(kind), of), F.lit(0))
     if hooks.override:
         out = F.coalesce(hooks.override(name, given), out)
     return F.when(value.isNull() | value.isin("", "0") | looks_masked(value), value).otherwise(out)

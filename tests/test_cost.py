@@ -1,8 +1,10 @@
 """What queries over many short texts may cost: long expressions are compiled, and nothing dear is worked out twice."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.frames import small_functions
+from maskwright.operators import fields
 from maskwright.operators.masking import mask_plain
 from maskwright.rules import BUILT_IN
 
@@ -39,3 +41,10 @@ def test_only_rules_that_may_match_are_gone_through(spark):
     out = mask_plain(rows, "text", rules=rules)
     assert [r["text"] for r in out.collect()] == ["a***@b.org 10.***.***.1", "nothing", None, ""]
     assert "array_remove" in _plan(out)
+
+
+def test_a_fields_type_is_found_once(spark):
+    rows = spark.createDataFrame([("q", "a@b.org"), ("name", "Bob"), ("q", None), ("q", "0")], "name string, value string")
+    out = rows.withColumn("value", fields.mask_value(F.col("name"), F.col("value")))
+    assert [r["value"] for r in out.collect()] == ["a***@b.org", "B**", None, "0"]
+    assert _plan(out).count("THEN hosting") == 3  # by whole names, parts of names and values
