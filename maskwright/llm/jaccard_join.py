@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import LEAST_TASKS, TASKS_A_CORE
 from . import words as W
 from .common import columns, discard, forget_tokenizers, hinted, release, slices, stored
 from .components import components
@@ -17,8 +19,8 @@ from .components import components
 WORDS, PERCENT = 5, 80
 #: Groups that shingles are hashed into for the count vector, the point that is indexed.
 DIMS = 128
-#: Points in a leaf of an R-tree, nodes in a node, and points in a tree.
-LEAF, FAN, PART = 64, 8, 4096
+#: Points in a leaf of an R-tree, nodes in a node, points in a tree, and bytes of sets in a tree that holds the sets too.
+LEAF, FAN, PART, PART_BYTES = 64, 8, 4096, 16 << 20
 #: Width of the size classes of signatures.
 RATIO = 1.4
 U = np.uint64
@@ -114,6 +116,14 @@ def fine_bound(x: bytes, y: bytes, percent: int) -> bool:
     return (percent + 100) * int(np.minimum(u, v).sum(dtype=np.int64)) >= percent * (int(u.sum(dtype=np.int64)) + int(v.sum()))
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, each sorted, share ``percent`` of their union."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
 class Classes:
     """Size classes and how many groups of a set can differ at most from those of a similar one.
 
@@ -265,9 +275,13 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _contents(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int, content: Callable[[np.ndarray], object], kind: str, name: str) -> DataFrame:
-    """``set, items``: ``content`` of the shingles of each set in the pairs, read again from the texts; sets may repeat."""
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(points.select("set", "key"), "set"), "needed")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+
+
+def _contents(sets: DataFrame, docs: DataFrame, points: DataFrame, words: int, content: Callable[[np.ndarray], object], kind: str, name: str) -> DataFrame:
+    """``set, items``: ``content`` of the shingles of each of the sets, read again from the texts; sets may repeat."""
+    needed = stored(sets.join(points.select("set", "key"), "set"), "needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -309,17 +323,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int,
     that they leave move their sets.
     """
 
-    def similar(x: pa.Scalar, y: pa.Scalar) -> bool:
-        both = np.concatenate((x.values.to_numpy(), y.values.to_numpy()))
-        both.sort()
-        same = int((both[1:] == both[:-1]).sum())
-        return 100 * same >= percent * (len(both) - same)
-
-    fine = _contents(pairs, docs, points, words, fine_vector, "binary", "fine")
+    fine = _contents(_ends(pairs), docs, points, words, fine_vector, "binary", "fine")
     close = stored(_passing(pairs, fine, lambda x, y: fine_bound(x.as_py(), y.as_py(), percent)), "close")
     discard(fine)
-    sets = _contents(close, docs, points, words, lambda sh: sh.view(np.int64), "array<long>", "sets")
-    out = stored(_passing(close, sets, similar), "similar")
+    sets = _contents(_ends(close), docs, points, words, lambda sh: sh.view(np.int64), "array<long>", "sets")
+    out = stored(_passing(close, sets, lambda x, y: similar(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), percent)), "similar")
     discard(sets, close)
     return out
 
@@ -337,11 +345,11 @@ class RTree:
 
     A node has the largest coordinate of its points in each dimension, the least set size, and the least
     and largest component. Two nodes can hold a similar pair only if the sum of the smaller of their
-    coordinates allows it for the least sizes.
+    coordinates allows it for the least sizes. ``items`` are the sets themselves, as bytes, if the tree holds them.
     """
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, component: np.ndarray):
-        self.points, self.n, self.component, self.levels = points, n, component, []
+    def __init__(self, points: np.ndarray, n: np.ndarray, component: np.ndarray, items: pa.Array | None = None):
+        self.points, self.n, self.component, self.items, self.levels = points, n, component, items, []
         node, size = (points, n, component, component), LEAF
         while not self.levels or len(node[1]) > 1:
             at = np.arange(0, len(node[1]), size)
@@ -378,8 +386,15 @@ class RTree:
         order = np.lexsort((y, x, ~same))  # a leaf with itself first
         yield from zip(x[order].tolist(), y[order].tolist(), strict=True)
 
+    def item(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.items[i].as_buffer(), np.uint64)
+
     def pairs(self, other: RTree, percent: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in this tree, in the other) of pairs of different components that the bound leaves; ``spanning``: only so many that they join all points that these pairs join."""
+        """Places (in this tree, in the other) of pairs of different components that the bound leaves; ``spanning``: only so many that they join all points that these pairs join.
+
+        Of trees that hold their sets, the pairs are those whose sets are similar.
+        """
+        exact = self.items is not None
         out = [np.zeros((2, 0), np.int64)]
         _, label = np.unique(np.concatenate((self.component, other.component)), return_inverse=True)
         mine, its = label[: len(self.n)], label[len(self.n) :]
@@ -397,6 +412,9 @@ class RTree:
                 continue
             while mask.any():
                 i, j = divmod(int(mask.argmax()), mask.shape[1])
+                if exact and not similar(self.item(a.start + i), other.item(b.start + j), percent):
+                    mask[i, j] = False
+                    continue
                 out.append(np.array([[a.start + i], [b.start + j]]))
                 label[label == its[b.start + j]] = mine[a.start + i]
                 if self is other:
@@ -405,31 +423,46 @@ class RTree:
         return tuple(np.concatenate(out, 1))
 
 
-def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values))
+def _lists(values: np.ndarray | pa.Array, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: list[DataFrame] | None = None) -> DataFrame:
+def _cuts(sig: np.ndarray, size: np.ndarray, points: int, most: int) -> np.ndarray:
+    """Where trees begin among points in order of their bucket: up to ``points`` of them, fewer if their sizes sum up to more than ``most``."""
+    weight = np.maximum(1, size * points // most)
+    new = np.concatenate(([True], sig[1:] != sig[:-1]))
+    before = np.cumsum(weight) - weight
+    part = (before - before[np.flatnonzero(new)][np.cumsum(new) - 1]) // points
+    new[1:] |= part[1:] != part[:-1]
+    return np.flatnonzero(new)
+
+
+def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: list[DataFrame] | None = None, wide: list[DataFrame] | None = None) -> DataFrame:
     """Pairs ``a, b`` from different components within a bucket that the R-trees' bounds leave.
 
     The points ``sig, set, component, n, vec`` of a bucket are packed into trees of up to ``PART`` points, in
     order of component and leading coordinates; a bucket with very many points has several trees in several
     tasks. Trees meet from the roots down: two trees, nodes, leaves or points meet only if the sum of the
     smaller of their largest coordinates allows a similar pair. With ``spanning``, each tree gives no more pairs
-    than it takes to join what the bounds leave, and trees of one bucket meet by their first points. The tables
-    that the result reads are added to ``used``.
+    than it takes to join what the bounds leave, and trees of one bucket meet by their first points; links that join
+    all points of such a bucket are stored and added to ``wide``. The tables that the result reads are added to ``used``.
+
+    If the points have ``items``, the sorted shingles as bytes, trees hold them, and the pairs are links between similar sets, from
+    each tree and each two trees no more than it takes to join their points.
     """
+    exact = "items" in points.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, held = TaskContext.get().partitionId() << 32, None
 
-        def packed(sig: np.ndarray, ids: np.ndarray, comps: np.ndarray, n: np.ndarray, vec: np.ndarray) -> pa.RecordBatch:
+        def cuts(sig: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return _cuts(sig, n * 8 * exact, PART, PART_BYTES)
+
+        def packed(sig: np.ndarray, ids: np.ndarray, comps: np.ndarray, n: np.ndarray, vec: np.ndarray, *items: np.ndarray) -> pa.RecordBatch:
             nonlocal part
-            run = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            place = np.arange(len(sig)) - np.repeat(run, np.diff(np.append(run, len(sig))))
-            at = np.flatnonzero(place % PART == 0)
+            at = cuts(sig, n)
             numbers = part + np.arange(len(at))
             part += len(at)
             top = np.maximum.reduceat(_points(vec.tobytes(), n), at, 0).astype(np.int64)
@@ -437,8 +470,9 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
             raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(width))).astype(np.int32)), pa.py_buffer(vec.tobytes())])
             tops = _lists(top.ravel(), np.arange(len(at)) * DIMS)
             return pa.record_batch(
-                [pa.array(sig[at]), pa.array(numbers), pa.array(ids[at]), pa.array(np.minimum.reduceat(comps, at)), pa.array(np.maximum.reduceat(comps, at)), pa.array(np.minimum.reduceat(n, at)), tops, _lists(ids, at), _lists(comps, at), _lists(n, at), raw],
-                ["sig", "part", "head", "low", "high", "least", "top", "sets", "components", "ns", "vecs"],
+                [pa.array(sig[at]), pa.array(numbers), pa.array(ids[at]), pa.array(np.minimum.reduceat(comps, at)), pa.array(np.maximum.reduceat(comps, at)), pa.array(np.minimum.reduceat(n, at)), tops]
+                + [_lists(ids, at), _lists(comps, at), _lists(n, at), raw, *(_lists(pa.array(x, pa.binary()), at) for x in items)],
+                ["sig", "part", "head", "low", "high", "least", "top", *inner],
             )
 
         for batch in batches:
@@ -446,28 +480,28 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
                 continue
             *rest, vec = columns(batch, "sig", "set", "component", "n", "vec")
             now = [*(x.to_numpy() for x in rest), np.frombuffer(b"".join(vec.to_pylist()), "<u2").reshape(-1, DIMS)]
+            now += [np.array(x.to_pylist(), object) for x in columns(batch, *["items"] * exact)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            last += (len(held[0]) - last) // PART * PART
+            last = int(cuts(held[0], held[3])[-1])
             if last:
                 yield packed(*(x[:last] for x in held))
-                held = [x[last:] for x in held] if last < len(held[0]) else None
+                held = [x[last:] for x in held]
         if held is not None:
             yield packed(*held)
 
     def trees(batch: pa.RecordBatch, side: str = "") -> Iterator[tuple[np.ndarray, RTree]]:
-        ids, comps, ns, vecs = columns(batch, *(c + side for c in ("sets", "components", "ns", "vecs")))
+        ids, comps, ns, vecs, *items = columns(batch, *(c + side for c in inner))
         at = ids.offsets.to_numpy()
         ids, comps, ns = (x.values.to_numpy() for x in (ids, comps, ns))
-        for a, b, vec in zip(at.tolist(), at[1:].tolist(), vecs, strict=False):
-            yield ids[a:b], RTree(_points(vec.as_py(), ns[a:b]), ns[a:b], comps[a:b])
+        for i, (a, b, vec) in enumerate(zip(at.tolist(), at[1:].tolist(), vecs, strict=False)):
+            yield ids[a:b], RTree(_points(vec.as_py(), ns[a:b]), ns[a:b], comps[a:b], items[0][i].values if exact else None)
 
     def found(ids: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(np.minimum(ids[x], other[y])), pa.array(np.maximum(ids[x], other[y]))], ["a", "b"])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [found(ids, ids, *tree.pairs(tree, percent, spanning)) for ids, tree in trees(batch)]
+            rows = [found(ids, ids, *tree.pairs(tree, percent, spanning or exact)) for ids, tree in trees(batch)]
             if rows:
                 yield pa.Table.from_batches(rows).combine_chunks().to_batches(1 << 20)[0] if sum(map(len, rows)) else rows[0]
 
@@ -475,16 +509,19 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
         for batch in batches:
             for i in range(len(batch)):
                 (ids, tree), (other, it) = (next(trees(batch.slice(i, 1), side)) for side in ("_x", "_y"))
-                yield found(ids, other, *tree.pairs(it, percent, False))
+                yield found(ids, other, *tree.pairs(it, percent, exact))
 
-    points = stored(points.select("sig", "set", "component", "n", "vec"), "points")
+    inner = ["sets", "components", "ns", "vecs", *["items"] * exact]
+    points = stored(points.select("sig", "set", "component", "n", "vec", *["items"] * exact), "points")
     order = ["sig", "component", "front", "set"]
     if spanning:
         order.remove("component")  # there are as many as points, or nearly
     front = F.base64(F.substring("vec", 1, 16))
     kinds = "sig long, part long, head long, low long, high long, least long, top array<long>, sets array<long>, components array<long>, ns array<long>, vecs binary"
-    packed = stored(points.withColumn("front", front).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, kinds), "trees")
-    pairs = packed.filter("low < high").select("sets", "components", "ns", "vecs").mapInArrow(inside, "a long, b long")
+    kinds += ", items array<binary>" * exact
+    tasks = [max(TASKS_A_CORE * points.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS)] * exact  # few bytes, but work that is quadratic in a bucket
+    packed = stored(points.withColumn("front", front).repartitionByRange(*tasks, *order).sortWithinPartitions(*order).mapInArrow(pack, kinds), "trees")
+    pairs = packed.filter("low < high").select(*inner).mapInArrow(inside, "a long, b long")
     several = stored(packed.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig"), "several")
     n_several, used = several.count(), [] if used is None else used
     used += [points, packed, several]
@@ -494,6 +531,9 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
     used.append(parts)
     if spanning:
         before = F.lag("head").over(Window.partitionBy("sig").orderBy("part"))
+        if wide is not None:
+            first = parts.groupBy("sig").agg(F.min("head").alias("a"))
+            wide.append(stored(parts.select("sig", F.explode("sets").alias("b")).join(first, "sig").select("a", "b"), "wide"))
         heads = parts.select(before.alias("a"), F.col("head").alias("b")).filter("a IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return pairs.unionByName(_bounded(heads, points.dropDuplicates(["set"]), percent)).distinct()
     x, y = (parts.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in parts.columns if c != "sig"]) for s in "xy")
@@ -503,6 +543,16 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
     return pairs.unionByName(met.mapInArrow(across, "a long, b long")).distinct()
 
 
+def _unjoined(members: DataFrame, linked: DataFrame | None, classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Points ``sig, set, component, n, vec`` of the buckets that hold several components and ``least`` sets at least, and the table of these buckets."""
+    if linked is not None:
+        members = members.join(hinted(linked, linked.count(), 16), F.col("set") == F.col("node"), "left")
+    some = members.select("sig", "set", F.coalesce("component", "set").alias("component") if linked is not None else F.col("set").alias("component"))
+    mixed = some.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"))
+    mixed = stored(mixed.filter((F.col("low") < F.col("high")) & (F.col("k") >= least)).select("sig"), "mixed")
+    return some.join(hinted(mixed, mixed.count(), 8), "sig").join(classes.select("set", "n", "vec"), "set"), mixed
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, n_shingles, component_id, key, kept``: documents joined by shingle sets that share ``percent`` of their union.
 
@@ -510,7 +560,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     misses; each bucket's count vectors are packed into R-trees, whose self-joins give all candidate pairs.
     Pairs that finer count vectors leave are verified by the sets. What verified links join needs no more comparing, so the trees are joined
     three times: over one bucket of each class, giving a spanning forest of what the bounds leave; over all
-    buckets that still have several components, the same; and over those that remain, all pairs.
+    buckets that still have several components, the same. What both forests join is a family: a similar pair that
+    is left has both ends in one. Last, the classes of each family with several components are packed once, with their sets,
+    into trees that give verified links only, and of these a spanning forest. So rows of pairs grow with the
+    members of buckets, not with their squares.
 
     ``component_id`` is the smallest id that links reach. A text that is null or has no words has no
     shingles and stands alone, as its own component. Rows that share an id are rows of their own; a null
@@ -524,24 +577,30 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     shared = stored(_shared(_signature_rows(docs, words, percent)), "members")
     members = stored(_different(shared), "buckets")
     discard(shared)
-    good, tested, linked = None, None, None
-    for home, spanning in ((True, True), (False, True), (False, False)):
+    good, tested, linked, wide = None, None, None, []
+    for home in (True, False):
         some = members.groupBy("set").agg(F.min("sig").alias("sig")) if home else members
-        if linked is not None:
-            some = some.join(hinted(linked, linked.count(), 16), F.col("set") == F.col("node"), "left")
-        some = some.select("sig", "set", F.coalesce("component", "set").alias("component") if linked is not None else F.col("set").alias("component"))
-        # The second time left nothing to compare between two sets of one bucket.
-        mixed = some.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"))
-        mixed = stored(mixed.filter("low < high").filter(F.lit(spanning) | (F.col("k") > 2)).select("sig"), "mixed")
-        points = some.join(hinted(mixed, mixed.count(), 8), "sig").join(classes.select("set", "n", "vec"), "set")
+        points, mixed = _unjoined(some, linked, classes, 2)
         used = [mixed]
-        pairs = _tree_pairs(points, percent, spanning, used)
+        pairs = _tree_pairs(points, percent, True, used, wide)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "tree-pairs")
         discard(*used)
         if pairs.limit(1).count():
             found = _verified(pairs, docs, classes, words, percent)
             good, tested = (found, pairs) if good is None else (good.unionByName(found), tested.unionByName(pairs))
             linked = stored(components(good), "linked")
+    joined = [*wide, *([] if tested is None else [tested])]
+    if joined:
+        families = stored(components(reduce(DataFrame.unionByName, joined)).select(F.col("component").alias("sig"), F.col("node").alias("set")), "families")
+        # Two classes that are a family of their own have been compared.
+        points, mixed = _unjoined(families, linked, classes, 3)
+        points = stored(points, "unjoined")
+        if points.limit(1).count():
+            sets = _contents(points.select("set"), docs, classes, words, lambda sh: sh.tobytes(), "binary", "sets")
+            used = [mixed, points, sets]
+            found = stored(_tree_pairs(points.join(sets.dropDuplicates(["set"]), "set"), percent, used=used), "links")
+            discard(*used)
+            linked = stored(components(found if good is None else good.unionByName(found)), "linked")
     if linked is None:
         linked = docs.sparkSession.createDataFrame([], "node long, component long")
     whole = classes.select("set", "keep").join(linked, F.col("set") == F.col("node"), "left").select("set", "keep", F.coalesce("component", "set").alias("component"))

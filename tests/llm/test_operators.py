@@ -512,3 +512,39 @@ def test_fine_vectors_leave_every_similar_pair():
     assert not all(left)
     same_group = np.arange(300).astype(np.uint64)
     assert jaccard_join.fine_bound(jaccard_join.fine_vector(same_group), jaccard_join.fine_vector(same_group[:250]), 80)
+
+
+def test_trees_that_hold_sets_give_links_of_similar_sets_only(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base, sets = np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64)), []
+    for i in range(90):
+        own = rng.integers(0, 1 << 63, 12 if i % 3 else 70).astype(np.uint64)
+        sets.append(np.unique(np.concatenate((rng.permutation(base)[: 300 - len(own)], own))))
+    links = {(a, b) for a in range(90) for b in range(a + 1, 90) if jaccard_join.similar(sets[a], sets[b], 80)}
+    assert len(links) > 1000 and all(a % 3 and b % 3 for a, b in links)
+    vecs = [jaccard_join.count_vectors(x, np.array([0, len(x)]))[0].tobytes() for x in sets]
+    df = spark.createDataFrame([(7, i, i, len(x), v, x.tobytes()) for i, (x, v) in enumerate(zip(sets, vecs, strict=True))], "sig long, set long, component long, n long, vec binary, items binary")
+    for name, few in (("PART", 4096), ("PART", 20), ("PART_BYTES", 20 * 8 * 300)):
+        monkeypatch.setattr(jaccard_join, name, few)
+        got = jaccard_join._tree_pairs(df, 80)
+        pairs = {tuple(r) for r in got.collect()}
+        assert pairs <= links and len(pairs) < len(links)
+        assert {tuple(r) for r in components.components(got).collect()} == {(i, 1) for i in range(90) if i % 3}
+        monkeypatch.undo()
+
+
+def test_pairs_of_a_group_that_is_nearly_similar_do_not_grow_with_its_square(table, monkeypatch):
+    calls, real = [], jaccard_join._tree_pairs
+
+    def counted(points, percent, spanning=False, *args, **kwargs):
+        out = real(points, percent, spanning, *args, **kwargs)
+        calls.append((spanning, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_tree_pairs", counted)
+    base = [f"w{i}" for i in range(3400)]
+    rows = [(i, " ".join(base + [f"v{i}-{j}" for j in range(600)])) for i in range(24)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(0, 24, 8)]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(table(rows), 5, 80).collect()}
+    assert out == {i: (len(t.split()) - 4, i % 100) for i, t in rows}
+    assert sum(n for spanning, n in calls if not spanning) <= len(rows)
