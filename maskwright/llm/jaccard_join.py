@@ -519,8 +519,11 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
     front = F.base64(F.substring("vec", 1, 16))
     kinds = "sig long, part long, head long, low long, high long, least long, top array<long>, sets array<long>, components array<long>, ns array<long>, vecs binary"
     kinds += ", items array<binary>" * exact
-    tasks = [max(TASKS_A_CORE * points.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS)] * exact  # few bytes, but work that is quadratic in a bucket
-    packed = stored(points.withColumn("front", front).repartitionByRange(*tasks, *order).sortWithinPartitions(*order).mapInArrow(pack, kinds), "trees")
+    if exact:  # few bytes, but work that is quadratic in a bucket
+        dealt = points.withColumn("front", front).repartition(max(TASKS_A_CORE * points.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS), "sig")
+    else:
+        dealt = points.withColumn("front", front).repartitionByRange(*order)
+    packed = stored(dealt.sortWithinPartitions(*order).mapInArrow(pack, kinds), "trees")
     pairs = packed.filter("low < high").select(*inner).mapInArrow(inside, "a long, b long")
     several = stored(packed.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig"), "several")
     n_several, used = several.count(), [] if used is None else used
@@ -562,8 +565,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     three times: over one bucket of each class, giving a spanning forest of what the bounds leave; over all
     buckets that still have several components, the same. What both forests join is a family: a similar pair that
     is left has both ends in one. Last, the classes of each family with several components are packed once, with their sets,
-    into trees that give verified links only, and of these a spanning forest. So rows of pairs grow with the
-    members of buckets, not with their squares.
+    into a tree that gives verified links only, and of these a spanning forest; rows of such pairs grow with the
+    classes, not with their squares. Families too large for a tree with sets meet in the buckets, all pairs of each.
 
     ``component_id`` is the smallest id that links reach. A text that is null or has no words has no
     shingles and stands alone, as its own component. Rows that share an id are rows of their own; a null
@@ -595,12 +598,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         # Two classes that are a family of their own have been compared.
         points, mixed = _unjoined(families, linked, classes, 3)
         points = stored(points, "unjoined")
-        if points.limit(1).count():
-            sets = _contents(points.select("set"), docs, classes, words, lambda sh: sh.tobytes(), "binary", "sets")
-            used = [mixed, points, sets]
-            found = stored(_tree_pairs(points.join(sets.dropDuplicates(["set"]), "set"), percent, used=used), "links")
-            discard(*used)
-            linked = stored(components(found if good is None else good.unionByName(found)), "linked")
+        sizes = points.groupBy("sig").agg(((F.count(F.lit(1)) <= PART) & (F.sum("n") * 8 <= PART_BYTES)).alias("fits"))
+        sizes = stored(sizes, "sizes")
+        of_a_tree, larger = (points.join(hinted(some, some.count(), 8), "sig") for some in (sizes.filter("fits").select("sig"), sizes.filter("NOT fits").select("sig")))
+        used = [mixed, points, sizes]
+        if of_a_tree.limit(1).count():
+            sets = _contents(of_a_tree.select("set"), docs, classes, words, lambda sh: sh.tobytes(), "binary", "sets")
+            used.append(sets)
+            found = stored(_tree_pairs(of_a_tree.join(sets.dropDuplicates(["set"]), "set"), percent, used=used), "links")
+            good = found if good is None else good.unionByName(found)
+        if larger.limit(1).count():
+            points, mixed = _unjoined(members.join(larger.select("set"), "set", "left_semi"), linked, classes, 3)
+            used.append(mixed)
+            pairs = _tree_pairs(points, percent, False, used)
+            pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "tree-pairs")
+            if pairs.limit(1).count():
+                found = _verified(pairs, docs, classes, words, percent)
+                good = found if good is None else good.unionByName(found)
+        discard(*used)
+        linked = linked if good is None else stored(components(good), "linked")
     if linked is None:
         linked = docs.sparkSession.createDataFrame([], "node long, component long")
     whole = classes.select("set", "keep").join(linked, F.col("set") == F.col("node"), "left").select("set", "keep", F.coalesce("component", "set").alias("component"))
