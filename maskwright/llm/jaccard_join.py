@@ -21,6 +21,8 @@ WORDS, PERCENT = 5, 80
 DIMS = 128
 #: Points in a leaf of an R-tree, nodes in a node, points in a tree, and bytes of sets in a tree that holds the sets too.
 LEAF, FAN, PART, PART_BYTES = 64, 8, 4096, 16 << 20
+#: Pairs that trees hand over at once.
+ROWS = 1 << 20
 #: Width of the size classes of signatures.
 RATIO = 1.4
 U = np.uint64
@@ -394,11 +396,18 @@ class RTree:
 
         Of trees that hold their sets, the pairs are those whose sets are similar.
         """
+        return tuple(np.concatenate([np.zeros((2, 0), np.int64), *self.blocks(other, percent, spanning)], 1))
+
+    def blocks(self, other: RTree, percent: int, spanning: bool) -> Iterator[np.ndarray]:
+        """All ``pairs`` as arrays of two rows; one ends once it has ``ROWS`` pairs, after those of the leaves at hand."""
         exact = self.items is not None
-        out = [np.zeros((2, 0), np.int64)]
+        out, rows = [], 0
         _, label = np.unique(np.concatenate((self.component, other.component)), return_inverse=True)
         mine, its = label[: len(self.n)], label[len(self.n) :]
         for u, v in self.meet(other, percent):
+            if rows >= ROWS:
+                yield np.concatenate(out, 1)
+                out, rows = [], 0
             a, b = self.leaf(u), other.leaf(v)
             mask = mine[a, None] != its[None, b]
             if self is other and u == v:
@@ -409,6 +418,7 @@ class RTree:
             mask &= (percent + 100) * most >= percent * (self.n[a, None] + other.n[None, b])
             if not spanning:
                 out.append(np.stack(np.nonzero(mask)) + [[a.start], [b.start]])
+                rows += out[-1].shape[1]
                 continue
             while mask.any():
                 i, j = divmod(int(mask.argmax()), mask.shape[1])
@@ -416,11 +426,30 @@ class RTree:
                     mask[i, j] = False
                     continue
                 out.append(np.array([[a.start + i], [b.start + j]]))
+                rows += 1
                 label[label == its[b.start + j]] = mine[a.start + i]
                 if self is other:
                     its[:] = mine
                 mask &= mine[a, None] != its[None, b]
-        return tuple(np.concatenate(out, 1))
+        if out:
+            yield np.concatenate(out, 1)
+
+
+def _whole(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All the rows of many small batches, or of large ones, in batches of up to ``ROWS``."""
+
+    def joined() -> list[pa.RecordBatch]:
+        return pa.Table.from_batches(held).combine_chunks().to_batches(ROWS)
+
+    held, n = [], 0
+    for batch in rows:
+        held.append(batch)
+        n += len(batch)
+        if n >= ROWS:
+            yield from joined()
+            held, n = [], 0
+    if n:
+        yield from joined()
 
 
 def _lists(values: np.ndarray | pa.Array, starts: np.ndarray) -> pa.Array:
@@ -496,20 +525,19 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
         for i, (a, b, vec) in enumerate(zip(at.tolist(), at[1:].tolist(), vecs, strict=False)):
             yield ids[a:b], RTree(_points(vec.as_py(), ns[a:b]), ns[a:b], comps[a:b], items[0][i].values if exact else None)
 
-    def found(ids: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.minimum(ids[x], other[y])), pa.array(np.maximum(ids[x], other[y]))], ["a", "b"])
+    def found(ids: np.ndarray, tree: RTree, other: np.ndarray, it: RTree, few: bool) -> Iterator[pa.RecordBatch]:
+        for x, y in tree.blocks(it, percent, few):
+            yield pa.record_batch([pa.array(np.minimum(ids[x], other[y])), pa.array(np.maximum(ids[x], other[y]))], ["a", "b"])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [found(ids, ids, *tree.pairs(tree, percent, spanning or exact)) for ids, tree in trees(batch)]
-            if rows:
-                yield pa.Table.from_batches(rows).combine_chunks().to_batches(1 << 20)[0] if sum(map(len, rows)) else rows[0]
+            yield from _whole(x for ids, tree in trees(batch) for x in found(ids, tree, ids, tree, spanning or exact))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 (ids, tree), (other, it) = (next(trees(batch.slice(i, 1), side)) for side in ("_x", "_y"))
-                yield found(ids, other, *tree.pairs(it, percent, exact))
+                yield from _whole(found(ids, tree, other, it, exact))
 
     inner = ["sets", "components", "ns", "vecs", *["items"] * exact]
     points = stored(points.select("sig", "set", "component", "n", "vec", *["items"] * exact), "points")

@@ -497,6 +497,13 @@ def test_links_of_several_trees_of_one_bucket(spark, monkeypatch):
     assert {tuple(r) for r in jaccard_join._tree_pairs(two, 85).collect()} == want
 
 
+def test_trees_give_more_pairs_than_a_batch_holds(spark):
+    points = [(7, i, i, 128, np.full(jaccard_join.DIMS, 1, "<u2").tobytes()) for i in range(1600)]
+    df = spark.createDataFrame(points, "sig long, set long, component long, n long, vec binary").coalesce(1)
+    found = jaccard_join._tree_pairs(df, 85)
+    assert found.count() == found.filter("0 <= a AND a < b AND b < 1600").count() == 1600 * 1599 // 2
+
+
 def test_fine_vectors_leave_every_similar_pair():
     rng = np.random.default_rng(7)
     left = []
