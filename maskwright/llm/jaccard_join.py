@@ -255,6 +255,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             last_sig, last_set, shared = sig[-1], ids[-1], bool(keep[-1])
             if keep.any():
                 yield pa.record_batch([pa.array(sig[keep]), pa.array(ids[keep])], ["sig", "set"])
+        release()
 
     return rows.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(run, "sig long, set long")
 
@@ -270,6 +271,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             most = np.minimum(x, y).sum(1, dtype=np.int64)
             ok = pa.array(p * most >= percent * (na.to_numpy() + nb.to_numpy()))
             yield pa.record_batch([a, b], ["a", "b"]).filter(ok)
+        release()
 
     left = points.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
     right = points.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
@@ -298,6 +300,8 @@ def _contents(sets: DataFrame, docs: DataFrame, points: DataFrame, words: int, c
                 if len(done) > 1_000_000:
                     done.clear()
                 yield pa.record_batch([pa.array(ids[good]), pa.array(items, pa.binary() if kind == "binary" else pa.list_(pa.int64()))], ["set", "items"])
+        done.clear()
+        release()
 
     # All texts stay where they are if the keys are few enough to be sent to them.
     found = docs.join(hinted(needed, needed.count(), 24), "key").select("text", "set").mapInArrow(run, f"set long, items {kind}")
@@ -312,6 +316,7 @@ def _passing(pairs: DataFrame, contents: DataFrame, passes: Callable[[pa.Scalar,
             a, b, x, y = columns(batch, "a", "b", "x", "y")
             ok = [passes(x[i], y[i]) for i in range(len(batch))]
             yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     once = contents.dropDuplicates(["set"])
     left, right = (once.select(F.col("set").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
@@ -517,6 +522,8 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
                 held = [x[last:] for x in held]
         if held is not None:
             yield packed(*held)
+        held = None
+        release()
 
     def trees(batch: pa.RecordBatch, side: str = "") -> Iterator[tuple[np.ndarray, RTree]]:
         ids, comps, ns, vecs, *items = columns(batch, *(c + side for c in inner))
@@ -532,12 +539,14 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _whole(x for ids, tree in trees(batch) for x in found(ids, tree, ids, tree, spanning or exact))
+        release()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 (ids, tree), (other, it) = (next(trees(batch.slice(i, 1), side)) for side in ("_x", "_y"))
                 yield from _whole(found(ids, tree, other, it, exact))
+        release()
 
     inner = ["sets", "components", "ns", "vecs", *["items"] * exact]
     points = stored(points.select("sig", "set", "component", "n", "vec", *["items"] * exact), "points")

@@ -14,6 +14,8 @@ from .common import columns, release, stored
 from .tokens import crc, encoded
 
 LENGTH = 1024
+#: Text encoded at once, after which a worker gives memory back.
+SLICE = 1 << 20
 #: Pieces packed together, about; groups are dealt by hash, so that none grows with a key.
 GROUP = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
@@ -30,7 +32,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids, text = columns(batch, "id", "text")
-            for row, _, ids, offsets in encoded(text, tokenizer):
+            for row, _, ids, offsets in encoded(text, tokenizer, SLICE):
                 n = np.diff(offsets)
                 count = -(-n // length)
                 of = np.repeat(np.arange(len(n)), count)
@@ -44,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str =
                     [doc_ids.take(pa.array(row + of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(sums, pa.int64())],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
-        release()
+                release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)

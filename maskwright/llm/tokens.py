@@ -290,10 +290,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Parts of a text column as (first row, end row, ids, offsets)."""
+def encoded(column: pa.Array, path: str, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Parts of a text column, of about ``limit`` bytes of text, as (first row, end row, ids, offsets)."""
     enc = encoder(path)
-    for row, end, data, offsets in slices(column, SLICE):
+    for row, end, data, offsets in slices(column, limit):
         yield row, end, *enc.encode(data, offsets)
 
 
