@@ -23,6 +23,8 @@ DIMS = 128
 LEAF, FAN, PART, PART_BYTES = 64, 8, 4096, 16 << 20
 #: Pairs that trees hand over at once.
 ROWS = 1 << 20
+#: Buckets of a set that its points name, the first ones.
+NAMED = 16
 #: Width of the size classes of signatures.
 RATIO = 1.4
 U = np.uint64
@@ -352,11 +354,12 @@ class RTree:
 
     A node has the largest coordinate of its points in each dimension, the least set size, and the least
     and largest component. Two nodes can hold a similar pair only if the sum of the smaller of their
-    coordinates allows it for the least sizes. ``items`` are the sets themselves, as bytes, if the tree holds them.
+    coordinates allows it for the least sizes. ``items`` are the sets themselves, as bytes, if the tree holds them;
+    ``named`` has ``NAMED`` buckets of each point's set, the first ones, if the tree is of the bucket ``sig``.
     """
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, component: np.ndarray, items: pa.Array | None = None):
-        self.points, self.n, self.component, self.items, self.levels = points, n, component, items, []
+    def __init__(self, points: np.ndarray, n: np.ndarray, component: np.ndarray, items: pa.Array | None = None, named: np.ndarray | None = None, sig: int = 0):
+        self.points, self.n, self.component, self.items, self.named, self.sig, self.levels = points, n, component, items, named, sig, []
         node, size = (points, n, component, component), LEAF
         while not self.levels or len(node[1]) > 1:
             at = np.arange(0, len(node[1]), size)
@@ -399,7 +402,8 @@ class RTree:
     def pairs(self, other: RTree, percent: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
         """Places (in this tree, in the other) of pairs of different components that the bound leaves; ``spanning``: only so many that they join all points that these pairs join.
 
-        Of trees that hold their sets, the pairs are those whose sets are similar.
+        Of trees that hold their sets, the pairs are those whose sets are similar. Of trees that name buckets, pairs that both name an
+        earlier bucket are left to that one, where the same bound leaves them.
         """
         return tuple(np.concatenate([np.zeros((2, 0), np.int64), *self.blocks(other, percent, spanning)], 1))
 
@@ -422,7 +426,12 @@ class RTree:
             most = np.minimum(self.points[a, None], other.points[None, b]).sum(2, dtype=np.int64)
             mask &= (percent + 100) * most >= percent * (self.n[a, None] + other.n[None, b])
             if not spanning:
-                out.append(np.stack(np.nonzero(mask)) + [[a.start], [b.start]])
+                i, j = np.nonzero(mask)
+                if self.named is not None:
+                    x, y = self.named[a][i], other.named[b][j]
+                    new = ~((x[:, :, None] == y[:, None]) & (x < self.sig)[:, :, None]).any((1, 2))
+                    i, j = i[new], j[new]
+                out.append(np.stack((i, j)) + [[a.start], [b.start]])
                 rows += out[-1].shape[1]
                 continue
             while mask.any():
@@ -481,10 +490,12 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
     than it takes to join what the bounds leave, and trees of one bucket meet by their first points; links that join
     all points of such a bucket are stored and added to ``wide``. The tables that the result reads are added to ``used``.
 
+    Without both, each point names the first buckets of its set, and two sets that both name an earlier bucket give their pair there only.
     If the points have ``items``, the sorted shingles as bytes, trees hold them, and the pairs are links between similar sets, from
     each tree and each two trees no more than it takes to join their points.
     """
     exact = "items" in points.columns
+    once = not spanning and not exact
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -494,7 +505,7 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
         def cuts(sig: np.ndarray, n: np.ndarray) -> np.ndarray:
             return _cuts(sig, n * 8 * exact, PART, PART_BYTES)
 
-        def packed(sig: np.ndarray, ids: np.ndarray, comps: np.ndarray, n: np.ndarray, vec: np.ndarray, *items: np.ndarray) -> pa.RecordBatch:
+        def packed(sig: np.ndarray, ids: np.ndarray, comps: np.ndarray, n: np.ndarray, vec: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
             nonlocal part
             at = cuts(sig, n)
             numbers = part + np.arange(len(at))
@@ -503,9 +514,10 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
             width = np.diff(np.append(at, len(sig))) * 2 * DIMS
             raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(width))).astype(np.int32)), pa.py_buffer(vec.tobytes())])
             tops = _lists(top.ravel(), np.arange(len(at)) * DIMS)
+            more = [_lists(pa.array(x, pa.binary()), at) if exact else _lists(x.ravel(), at * NAMED) for x in more]
             return pa.record_batch(
                 [pa.array(sig[at]), pa.array(numbers), pa.array(ids[at]), pa.array(np.minimum.reduceat(comps, at)), pa.array(np.maximum.reduceat(comps, at)), pa.array(np.minimum.reduceat(n, at)), tops]
-                + [_lists(ids, at), _lists(comps, at), _lists(n, at), raw, *(_lists(pa.array(x, pa.binary()), at) for x in items)],
+                + [_lists(ids, at), _lists(comps, at), _lists(n, at), raw, *more],
                 ["sig", "part", "head", "low", "high", "least", "top", *inner],
             )
 
@@ -515,6 +527,7 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
             *rest, vec = columns(batch, "sig", "set", "component", "n", "vec")
             now = [*(x.to_numpy() for x in rest), np.frombuffer(b"".join(vec.to_pylist()), "<u2").reshape(-1, DIMS)]
             now += [np.array(x.to_pylist(), object) for x in columns(batch, *["items"] * exact)]
+            now += [np.array(x.to_pylist(), np.int64) for x in columns(batch, *["named"] * once)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             last = int(cuts(held[0], held[3])[-1])
             if last:
@@ -526,11 +539,13 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
         release()
 
     def trees(batch: pa.RecordBatch, side: str = "") -> Iterator[tuple[np.ndarray, RTree]]:
-        ids, comps, ns, vecs, *items = columns(batch, *(c + side for c in inner))
+        ids, comps, ns, vecs, *more = columns(batch, *(c + side for c in inner))
+        sig = columns(batch, "sig")[0].to_pylist()
         at = ids.offsets.to_numpy()
         ids, comps, ns = (x.values.to_numpy() for x in (ids, comps, ns))
         for i, (a, b, vec) in enumerate(zip(at.tolist(), at[1:].tolist(), vecs, strict=False)):
-            yield ids[a:b], RTree(_points(vec.as_py(), ns[a:b]), ns[a:b], comps[a:b], items[0][i].values if exact else None)
+            items, named = more[0][i].values if exact else None, more[0][i].values.to_numpy().reshape(-1, NAMED) if once else None
+            yield ids[a:b], RTree(_points(vec.as_py(), ns[a:b]), ns[a:b], comps[a:b], items, named, sig[i])
 
     def found(ids: np.ndarray, tree: RTree, other: np.ndarray, it: RTree, few: bool) -> Iterator[pa.RecordBatch]:
         for x, y in tree.blocks(it, percent, few):
@@ -548,20 +563,24 @@ def _tree_pairs(points: DataFrame, percent: int, spanning: bool = False, used: l
                 yield from _whole(found(ids, tree, other, it, exact))
         release()
 
-    inner = ["sets", "components", "ns", "vecs", *["items"] * exact]
-    points = stored(points.select("sig", "set", "component", "n", "vec", *["items"] * exact), "points")
+    more = ["items"] * exact + ["named"] * once
+    inner = ["sets", "components", "ns", "vecs", *more]
+    if once:
+        first = F.slice(F.concat(F.array_sort(F.collect_set("sig")), F.array_repeat(F.lit((1 << 63) - 1), NAMED)), 1, NAMED)
+        points = points.join(points.groupBy("set").agg(first.alias("named")), "set")
+    points = stored(points.select("sig", "set", "component", "n", "vec", *more), "points")
     order = ["sig", "component", "front", "set"]
     if spanning:
         order.remove("component")  # there are as many as points, or nearly
     front = F.base64(F.substring("vec", 1, 16))
     kinds = "sig long, part long, head long, low long, high long, least long, top array<long>, sets array<long>, components array<long>, ns array<long>, vecs binary"
-    kinds += ", items array<binary>" * exact
+    kinds += ", items array<binary>" * exact + ", named array<long>" * once
     if exact:  # few bytes, but work that is quadratic in a bucket
         dealt = points.withColumn("front", front).repartition(max(TASKS_A_CORE * points.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS), "sig")
     else:
         dealt = points.withColumn("front", front).repartitionByRange(*order)
     packed = stored(dealt.sortWithinPartitions(*order).mapInArrow(pack, kinds), "trees")
-    pairs = packed.filter("low < high").select(*inner).mapInArrow(inside, "a long, b long")
+    pairs = packed.filter("low < high").select("sig", *inner).mapInArrow(inside, "a long, b long")
     several = stored(packed.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig"), "several")
     n_several, used = several.count(), [] if used is None else used
     used += [points, packed, several]

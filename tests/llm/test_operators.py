@@ -504,6 +504,34 @@ def test_trees_give_more_pairs_than_a_batch_holds(spark):
     assert found.count() == found.filter("0 <= a AND a < b AND b < 1600").count() == 1600 * 1599 // 2
 
 
+def test_pairs_that_meet_in_many_buckets_are_made_once(spark, monkeypatch):
+    vec = np.full(jaccard_join.DIMS, 1, "<u2").tobytes()
+    rng = np.random.default_rng(12)
+    held = {i: {0, *(rng.permutation(40)[: 3 + i % 30] - 20).tolist()} if i % 5 else {100 + i % 2} for i in range(120)}
+    df = spark.createDataFrame([(k, i, i, 128, vec) for i in held for k in sorted(held[i])], "sig long, set long, component long, n long, vec binary")
+    want = {(a, b) for a in held for b in held if a < b and held[a] & held[b]}
+    for few in (4096, 9):
+        monkeypatch.setattr(jaccard_join, "PART", few)
+        assert {tuple(r) for r in jaccard_join._tree_pairs(df, 85).collect()} == want
+    points, n, named = np.ones((70, jaccard_join.DIMS), np.int64), np.full(70, 128), np.arange(5, 5 + jaccard_join.NAMED)[None].repeat(70, 0)
+    made = [len(jaccard_join.RTree(points, n, np.arange(70), None, named, sig).pairs(it, 85, False)[0]) for sig in (5, 6) for it in [jaccard_join.RTree(points, n, np.arange(70, 140), None, named, sig)]]
+    assert made == [70 * 70, 0]
+
+
+def test_families_of_several_trees(table, monkeypatch):
+    rng = np.random.default_rng(13)
+    base, rows = [f"w{i}" for i in range(260)], []
+    for i in range(90):
+        own = list(base)
+        for at in rng.permutation(260)[: 3 if i % 3 else 7].tolist():
+            own[at] = f"v{i}-{at}"
+        rows.append((i, " ".join(own)))
+    want = brute.jaccard(rows, 5, 80)
+    assert 20 < len({c for _, c in want.values()}) < 90
+    monkeypatch.setattr(jaccard_join, "PART", 6)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(table(rows), 5, 80).collect()} == want
+
+
 def test_fine_vectors_leave_every_similar_pair():
     rng = np.random.default_rng(7)
     left = []
